@@ -5,25 +5,27 @@ consecutive units of one text.  The minimiser of a window is the leftmost of its
 ``gram``-unit grams of least hash; consecutive windows with one minimiser form
 a super-k-mer.
 
-1. ``cut``: each text's super-k-mers as (minimiser, document, start, windows),
-   without their text.  A window that occurs twice has a minimiser that occurs
-   in two super-k-mers, so those with a lone minimiser are dropped, which loses
-   nothing.  A task hands on each minimiser once and marks what it saw
-   repeatedly itself, so a minimiser has at most one row for each task.
+1. ``cut`` and ``meet``: the minimisers of all super-k-mers meet, without text.
+   A window that occurs twice has a minimiser that occurs in two super-k-mers,
+   so those with a lone minimiser are dropped, which loses nothing.  A task
+   hands on each minimiser once and marks what it saw repeatedly itself, so a
+   minimiser has at most one entry for each task.
 2. ``collect``: the other super-k-mers travel as one packed string each to
    their minimiser's bucket.  A task sends equal strings once; what it can
    decide for its own copies it decides at once.
-3. ``decide``: a bucket's strings are sorted and repeated windows found
-   exactly; the answers (start, windows) go back to the documents.
+3. ``decide``: a bucket's distinct strings are sorted and repeated windows
+   found exactly; the answers (start, windows) go back to the documents.  No
+   window occurs twice in one string, since a string has one minimiser.
 
 Documents are shuffled once, by (id, text hash), for steps 2 and 4 alike.
 No group of copies meets in a task: a bucket holds a string once for each task.
 Hashes only bring candidates together; equality is decided on the units.
+Entries of step 1 travel as columns packed for each pair of tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,12 +52,55 @@ class Scheme:
     #: text bytes -> sequence of units that slices, and the packing of a slice
     units: Callable[[bytes], list]
     pack: Callable[[list], bytes]
-    #: packed strings, ids, starts, weights -> repeated (string number, offset) arrays
+    #: distinct packed strings of buckets that hold several, their ids, starts
+    #: and weights -> arrays (string number, offset) of repeated windows
     decide: Callable
-    #: equal strings of a task: which of the sorted (id, start) are decided, and the sent weight
+    #: whether the earliest copy stays (else all copies are repeated)
     keep_first: bool
 
 
+def packed(*columns: np.ndarray) -> bytes:
+    """Integer columns, each in as few bytes as its values take."""
+    out = []
+    for c in columns:
+        for code in ("<u1", "<u2", "<u4", "<i8"):
+            if code == "<i8" or not len(c) or (c.min() >= 0 and c.max() <= np.iinfo(code).max):
+                break
+        c = c.astype(code)
+        out.append(code[1:].encode() + len(c).to_bytes(4, "little") + c.tobytes())
+    return b"".join(out)
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(blob):
+        kind = "<" + blob[at : at + 2].decode()
+        n = int.from_bytes(blob[at + 2 : at + 6], "little")
+        c = np.frombuffer(blob, kind, n, at + 6)
+        out.append(c.astype(np.int64))
+        at += 6 + c.nbytes
+    return out
+
+
+def by_target(target: np.ndarray, n: int, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    order = np.argsort(target, kind="stable")
+    cuts = np.searchsorted(target[order], np.arange(n + 1))
+    columns = [c[order] for c in columns]
+    for p in np.flatnonzero(cuts[1:] > cuts[:-1]):
+        yield int(p), [c[cuts[p] : cuts[p + 1]] for c in columns]
+
+
+def blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["p", "b"])
+
+
+def width(df: DataFrame) -> int:
+    """Partitions for the packed exchanges: those of shuffles, more if the
+    input files' size asks for it (a plan without files says nothing)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(df.sparkSession), size >> 25 if df.inputFiles() and size < 1 << 55 else 1)
+
+
 def super_kmers(s: Scheme, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Minimiser, document, start unit and number of windows."""
     g, first = s.grams(data, off)
@@ -86,18 +131,18 @@ def repeated_windows(df: DataFrame, scheme: Scheme, key: str = "doc_id", text: s
     """Columns k (id, LAST if null), h, text (never null), row (the columns of
     ``df``) and spans (start, n: runs of windows that are repeated)."""
     spark = tuned(df.sparkSession)
-    n = partitions(spark)
+    n = width(df)
     body = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(body).alias("h"), body.alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("row"))
 
     def cut(batches):
+        """Packed entries (p, b) for the partition that each minimiser goes to."""
         held, rows = [], 0
         for b in A.slices(batches, "text", 1 << 20):
-            data, off = A.buffers(b.column(2))
-            mz, doc, at, many = super_kmers(scheme, data, off)
+            mz, doc, at, _ = super_kmers(scheme, *A.buffers(b.column(2)))
             if len(mz):
                 k, h = (b.column(i).to_numpy(zero_copy_only=False)[doc] for i in (0, 1))
-                held.append((mz, k, h, at, many))
+                held.append((mz, k, h, at))
                 rows += len(mz)
             if rows > HELD_ROWS:
                 yield flush(held)
@@ -106,62 +151,124 @@ def repeated_windows(df: DataFrame, scheme: Scheme, key: str = "doc_id", text: s
             yield flush(held)
 
     def flush(held):
-        mz, k, h, at, many = (np.concatenate(x) for x in zip(*held, strict=True))
+        mz, k, h, at = (np.concatenate(x) for x in zip(*held, strict=True))
         _, first, of, count = np.unique(mz, return_index=True, return_inverse=True, return_counts=True)
-        local = count[of] > 1
-        to = np.where(first[of] == np.arange(len(mz)), mz, _aside(mz, k + at))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (to, mz, k, h, at.astype(np.int64), many.astype(np.int64), local)], names=["to", "mz", "k", "h", "at", "many", "local"])
+        local = (count[of] > 1).astype(np.int64)
+        probe = first[of] == np.arange(len(mz))
+        target = (A.mix(np.where(probe, mz, _aside(mz, k + at)).view(np.uint64)) % np.uint64(n)).astype(np.int64)
+        out = []
+        for p, (m, pr, lo, ks, hs, a) in by_target(target, n, mz, probe, local, k, h, at):
+            ids, _, doc = _documents(ks, hs)
+            out.append((p, packed(ids[0], ids[1], m[pr], lo[pr], doc[pr], a[pr], doc[~pr], a[~pr])))
+        return blobs(out)
+
+    def meet(batches):
+        """Packed entries of documents whose minimisers occur elsewhere."""
+        to, lo, k, h, at = [], [], [], [], []
+        for b in batches:
+            for blob in b.column(1).to_pylist():
+                ids0, ids1, m, own, doc, a, more, c = unpacked(blob)
+                to.append(m)
+                lo.append(own)
+                doc = np.concatenate([doc, more])
+                k.append(ids0[doc])
+                h.append(ids1[doc])
+                at.append((a, c))
+        if not to:
+            return
+        _, of, count = np.unique(np.concatenate(to), return_inverse=True, return_counts=True)
+        keep = (count[of] > 1) | (np.concatenate(lo) > 0)
+        marks, s = [], 0
+        for m, (_, c) in zip(to, at, strict=True):
+            marks += [keep[s : s + len(m)], np.ones(len(c), bool)]
+            s += len(m)
+        keep = np.concatenate(marks)
+        k, h, at = np.concatenate(k)[keep], np.concatenate(h)[keep], np.concatenate([x for a in at for x in a])[keep]
+        target = (A.mix(k.view(np.uint64) + A.mix(h.view(np.uint64))) % np.uint64(n)).astype(np.int64)
+        out = []
+        for p, (ks, hs, a) in by_target(target, n, k, h, at):
+            ids, _, doc = _documents(ks, hs)
+            out.append((p, packed(ids[0], ids[1], doc, a)))
+        if out:
+            yield blobs(out)
 
-    found = docs.select("k", "h", "text").mapInArrow(cut, "to long, mz long, k long, h long, at long, many long, local boolean")
-    from pyspark.sql import Window
+    def gather(batches):
+        """One row for each document: the starts of its super-k-mers."""
+        got = [unpacked(x) for b in batches for x in b.column(1).to_pylist()]
+        if not got:
+            return
+        k, h = (np.concatenate([x[i][x[2]] for x in got]) for i in (0, 1))
+        at = np.concatenate([x[3] for x in got])
+        ids, _, doc = _documents(k, h)
+        order = np.lexsort((at, doc))
+        cuts = np.searchsorted(doc[order], np.arange(len(ids[0]) + 1))
+        at = at[order]
+        for s in range(0, len(ids[0]), 2000):
+            e = min(len(ids[0]), s + 2000)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[0][s:e]), pa.array(ids[1][s:e]), pa.array([packed(np.unique(at[cuts[i] : cuts[i + 1]])) for i in range(s, e)], pa.binary())], names=["k", "h", "parts"])
 
-    kept = found.withColumn("met", F.count("*").over(Window.partitionBy("to"))).where("local OR met > 1")
-    lists = kept.groupBy("k", "h").agg(F.collect_set(F.struct("mz", "at", "many")).alias("parts"))
+    met = docs.select("k", "h", "text").mapInArrow(cut, "p int, b binary").repartitionById(n, "p").mapInArrow(meet, "p int, b binary")
+    lists = met.repartitionById(n, "p").mapInArrow(gather, "k long, h long, parts binary")
     placed = docs.repartition(n, "k", "h")
 
     def collect(batches):
         """Rows (to, k, h, at, many, weight, s); s is null where decided."""
-        strings: dict[bytes, list] = {}
-        size = 0
+        strings: dict[bytes, int] = {}
+        held, size = [], 0
         for b in A.slices(batches, "text", 1 << 20):
-            k, h, texts, parts = (b.column(b.schema.names.index(c)).to_pylist() for c in ("k", "h", "text", "parts"))
-            for i in range(b.num_rows):
-                u = scheme.units(texts[i].encode("utf-8", "replace"))
-                for p in parts[i]:
-                    s = scheme.pack(u[p["at"] : p["at"] + p["many"] + scheme.size - 1])
-                    own = strings.get(s)
-                    if own is None:
-                        strings[s] = own = [p["mz"]]
-                        size += len(s) + 200
-                    own.append((k[i], p["at"], h[i], p["many"]))
-                    size += 100
+            col = {c: b.column(i) for i, c in enumerate(b.schema.names)}
+            mz, doc, at, many = super_kmers(scheme, *A.buffers(col["text"]))
+            parts = [unpacked(x)[0] for x in col["parts"].to_pylist()]
+            want = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            keep = np.isin(doc * (1 << 40) + at, want * (1 << 40) + np.concatenate(parts))
+            mz, doc, at, many = mz[keep], doc[keep], at[keep], many[keep]
+            sid, own, units = [], -1, None
+            texts = col["text"]
+            for d, s, e in zip(doc.tolist(), at.tolist(), (at + many + scheme.size - 1).tolist(), strict=True):
+                if d != own:
+                    own, units = d, scheme.units(texts[d].as_py().encode("utf-8", "replace"))
+                x = scheme.pack(units[s:e])
+                i = strings.setdefault(x, len(strings))
+                if i == len(strings) - 1:
+                    size += len(x)
+                sid.append(i)
+            k, h = (col[c].to_numpy(zero_copy_only=False)[doc] for c in ("k", "h"))
+            held.append((np.array(sid, np.int64), mz, k, h, at, many))
+            size += 150 * len(sid)
             if size > HELD_BYTES:
-                yield from send(strings)
-                strings, size = {}, 0
-        yield from send(strings)
+                yield from send(strings, held)
+                strings, held, size = {}, [], 0
+        yield from send(strings, held)
 
-    def send(strings):
-        out = []
-        for s, (mz, *own) in strings.items():
-            own.sort(key=lambda x: x[:2])
-            if scheme.keep_first:
-                out.append((mz, *own[0][:2], own[0][2], own[0][3], 1, s))
-                decided = [x for x in own[1:] if x[:2] > own[0][:2]]
-            else:
-                out.append((mz, *own[0][:2], own[0][2], own[0][3], min(2, len(own)), s))
-                decided = own if len(own) > 1 else []
-            out.extend((None, k, at, h, many, 0, None) for k, at, h, many in decided)
-            if len(out) > 20_000:
-                yield batch(out)
-                out = []
-        if out:
-            yield batch(out)
+    def send(strings, held):
+        if not strings:
+            return
+        sid, mz, k, h, at, many = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((h, at, k, sid))
+        sid, mz, k, h, at, many = (x[order] for x in (sid, mz, k, h, at, many))
+        first = np.ones(len(sid), bool)
+        first[1:] = sid[1:] != sid[:-1]
+        head = np.maximum.accumulate(np.where(first, np.arange(len(sid)), 0))
+        count = np.bincount(sid)
+        done = (k != k[head]) | (at != at[head]) if scheme.keep_first else count[sid] > 1
+        texts = pa.array(list(strings), pa.binary())
+        for s in range(0, len(texts), 20_000):
+            i = np.flatnonzero(first)[s : s + 20_000]
+            yield answers(mz[i], k[i], h[i], at[i], many[i], np.minimum(count[s : s + 20_000], 2), texts.slice(s, 20_000))
+        i = np.flatnonzero(done)
+        if len(i):
+            i = i[np.lexsort((at[i], h[i], k[i]))]
+            k, h, at, many = k[i], h[i], at[i], many[i]
+            new = np.ones(len(i), bool)
+            new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1]) | (at[1:] > at[:-1] + many[:-1])
+            end = np.append(np.flatnonzero(new)[1:] - 1, len(i) - 1)
+            b = np.flatnonzero(new)
+            many = at[end] + many[end] - at[b]
+            k, h, at = k[b], h[b], at[b]
+            yield answers(_aside(k, at), k, h, at, many, np.zeros(len(b), np.int64), pa.nulls(len(b), pa.binary()))
 
-    def batch(out):
-        to, k, at, h, many, weight, s = zip(*out, strict=True)
-        salt = np.array(k, np.int64) + np.array(at, np.int64) * 7919
-        to = np.where(np.array(weight) > 0, np.array([x or 0 for x in to], np.int64), _aside(salt, salt))
-        return pa.RecordBatch.from_arrays([pa.array(to), *(pa.array(x, pa.int64()) for x in (k, h, at, many, weight)), pa.array(s, pa.binary())], names=["to", "k", "h", "at", "many", "weight", "s"])
+    def answers(to, k, h, at, many, weight, s):
+        return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (to, k, h, at, many, weight)), s], names=["to", "k", "h", "at", "many", "weight", "s"])
 
     sent = placed.join(lists, ["k", "h"]).mapInArrow(collect, "to long, k long, h long, at long, many long, weight long, s binary")
 
@@ -188,27 +295,60 @@ def repeated_windows(df: DataFrame, scheme: Scheme, key: str = "doc_id", text: s
         if not held:
             return
         t = pa.Table.from_batches(held)
-        weight = t["weight"].to_numpy()
-        k, h, at, many = (t[c].to_numpy() for c in ("k", "h", "at", "many"))
+        to, k, h, at, many, weight = (t[c].to_numpy() for c in ("to", "k", "h", "at", "many", "weight"))
         done = np.flatnonzero(weight == 0)
-        open_ = np.flatnonzero(weight > 0)
-        strings = t["s"].take(pa.array(open_)).to_pylist()
-        i, o = scheme.decide(strings, k[open_], at[open_], weight[open_]) if strings else (np.zeros(0, np.int64),) * 2
-        i = open_[i]
-        start, run = at[i] + o, np.ones(len(i), np.int64)
-        if len(i):  # consecutive windows become one run
-            new = np.ones(len(i), bool)
-            new[1:] = (i[1:] != i[:-1]) | (o[1:] != o[:-1] + 1)
-            b = np.flatnonzero(new)
-            i, start, run = i[b], start[b], np.diff(np.append(b, len(new)))
-        cols = (np.concatenate([k[done], k[i]]), np.concatenate([h[done], h[i]]), np.concatenate([at[done], start]), np.concatenate([many[done], run]))
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["k", "h", "start", "n"])
+        i = np.flatnonzero(weight > 0)
+        out = [(k[done], h[done], at[done], many[done])]
+        if len(i):
+            column = t["s"].combine_chunks()
+            coded = (column.chunk(0) if isinstance(column, pa.ChunkedArray) else column).take(pa.array(i)).dictionary_encode()
+            sid = coded.indices.to_numpy()
+            i = i[np.lexsort((h[i], at[i], k[i], sid))]
+            sid = np.sort(sid)
+            first = np.ones(len(i), bool)
+            first[1:] = sid[1:] != sid[:-1]
+            head = i[first]
+            total = np.bincount(sid, weight[i])
+            lone = np.bincount(np.unique(to[head], return_inverse=True)[1])[np.unique(to[head], return_inverse=True)[1]] == 1
+            if scheme.keep_first:
+                whole = i[(k[i] != k[head][sid]) | (at[i] != at[head][sid])]
+            else:
+                whole = i[(total > 1)[sid]]
+            out.append((k[whole], h[whole], at[whole], many[whole]))
+            several = np.flatnonzero(~lone)
+            if len(several):
+                d = coded.dictionary.take(pa.array(several)).to_pylist()
+                s, o = scheme.decide(d, k[head][several], at[head][several], total[several])
+                new = np.ones(len(s), bool)
+                new[1:] = (s[1:] != s[:-1]) | (o[1:] != o[:-1] + 1)
+                b = np.flatnonzero(new)
+                s, o, run = several[s[b]], o[b], np.diff(np.append(b, len(new)))
+                if scheme.keep_first:
+                    r = head[s]
+                    out.append((k[r], h[r], at[r] + o, run))
+                else:  # a string that came once has one row; others are done
+                    once = total[s] == 1
+                    r = head[s[once]]
+                    out.append((k[r], h[r], at[r] + o[once], run[once]))
+        cols = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k", "h", "start", "n"])
 
     spans = sent.repartition(n, "to").sortWithinPartitions("to").mapInArrow(decide, "k long, h long, start long, n long")
     per_doc = spans.groupBy("k", "h").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     return placed.join(per_doc, ["k", "h"], "left")
 
 
+def _documents(k: np.ndarray, h: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], int, np.ndarray]:
+    """Distinct (k, h), their number, and each entry's place among them."""
+    order = np.lexsort((h, k))
+    new = np.ones(len(k), bool)
+    new[1:] = (k[order][1:] != k[order][:-1]) | (h[order][1:] != h[order][:-1])
+    of = np.empty(len(k), np.int64)
+    of[order] = np.cumsum(new) - 1
+    at = order[new]
+    return (k[at], h[at]), len(at), of
+
+
 def covered(spans: list | None, size: int, total: int) -> list[tuple[int, int]]:
     """Maximal runs [start, end) of units that windows of the spans cover."""
     runs: list[list[int]] = []
