@@ -1,4 +1,395 @@
-"""Queries over the driver's tables and their SQL."""
+"""The operators as queries over the driver's tables, each with its SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakesignal.functions import records as R
+from lakesignal.functions import slots as S
+from lakesignal.operators import checks, lake, matching, spikes
+from lakesignal.operators import statistics as T
+from lakesignal.streaming import monitor
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return df.select(*columns) if columns else df
+
+
+def events(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return t(spark, d, "events", "ts", "event_type", *more).withColumn("ts", S.slot_of(F.col("ts")).cast("timestamp_ntz"))
+
+
+def counts(spark: SparkSession, d: str) -> DataFrame:
+    return lake.series(events(spark, d), "ts", "event_type")
+
+
+def dense(spark: SparkSession, d: str) -> DataFrame:
+    one = counts(spark, d)
+    grid = S.spine(one, "ts").join(F.broadcast(one.select("event_type").distinct()))  # a handful of types
+    return grid.join(one, ["ts", "event_type"], "left").select("ts", "event_type", F.coalesce("count", F.lit(0)).alias("count"))
+
+
+SLOT = "time_bucket(INTERVAL 15 MINUTES, ts)"
+COUNTS = f"SELECT {SLOT} AS ts, event_type, count(*)::BIGINT AS \"count\" FROM events GROUP BY ALL"
+DENSE = f"""WITH c AS ({COUNTS}), s AS (SELECT unnest(generate_series((SELECT min(ts) FROM c), (SELECT max(ts) FROM c), INTERVAL 15 MINUTES)) AS ts),
+g AS (SELECT s.ts, k.event_type, coalesce(c."count", 0)::BIGINT AS "count" FROM s CROSS JOIN (SELECT DISTINCT event_type FROM c) k LEFT JOIN c ON c.ts = s.ts AND c.event_type = k.event_type)"""
+ROLLED = f"""{DENSE}, r AS (SELECT *, sum("count") OVER (PARTITION BY event_type ORDER BY ts ROWS 3 PRECEDING)::BIGINT AS observed FROM g),
+h AS (SELECT *, dayofweek(ts) IN (0, 6) AS weekend, hour(ts) AS hr FROM r),
+p AS (SELECT *, list(CASE WHEN minute(ts) = 45 THEN observed END) OVER (PARTITION BY event_type, weekend, hr ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS every FROM h),
+q AS (SELECT *, list_filter(every, lambda x: x IS NOT NULL)[-14:] AS past FROM p),
+m AS (SELECT *, coalesce(len(past), 0) AS n_history, list_aggregate(past, 'median') AS med FROM q),
+a AS (SELECT *, list_aggregate(list_transform(past, lambda x: abs(x - med)), 'median') AS mad FROM m),
+z AS (SELECT *, (observed - med) / (1.4826 * mad + 1) AS score FROM a WHERE n_history >= 5)"""
+
+
+@query(COUNTS)
+def slot_counts(spark, d):
+    return counts(spark, d)
+
+
+@query("SELECT CAST(ts AS DATE) AS dt, event_type, user_id, count(*)::BIGINT AS n_rows, count(*) FILTER (WHERE value > 10)::BIGINT AS n_about FROM events GROUP BY ALL")
+def domain_day(spark, d):
+    rows = t(spark, d, "events", "ts", "event_type", "user_id", "value").withColumn("dt", F.to_date("ts")).withColumn("about", F.col("value") > 10)
+    return lake.domain_day(rows, "dt", ("event_type", "user_id"), "about")
+
+
+@query("""WITH h AS (SELECT regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\\.', '') AS host FROM pages)
+SELECT CASE WHEN regexp_matches(host, '\\.(lt|lv|ee)$') THEN 'baltic' WHEN regexp_matches(host, '\\.(ru|by)$|^(sputnik|baltnews|rubaltic)') OR host IN ('rt.com', 'tass.com', 'ura.news', 'ruptly.tv') THEN 'ru_by'
+WHEN regexp_matches(host, '\\.(pl|fi|se|no|dk|de)$') THEN 'regional' ELSE 'other' END AS "group", count(*)::BIGINT AS n FROM h GROUP BY ALL""")
+def page_classify(spark, d):
+    host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1))
+    return t(spark, d, "pages", "url").select(R.classify(host, F.lit("eng")).alias("group")).groupBy("group").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, trim(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&')) AS title FROM pages")
+def page_title(spark, d):
+    return t(spark, d, "pages", "page_id", "html").select("page_id", R.unescape(R.tagged(F.col("html"), "<title>", "</title>")).alias("title"))
+
+
+TOKENS = "SELECT lang, unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+')) AS token FROM documents"
+
+
+@query(f"SELECT lang, token, count(*)::BIGINT AS \"count\" FROM ({TOKENS}) WHERE token <> '' GROUP BY ALL")
+def token_explode(spark, d):
+    rows = t(spark, d, "documents", "lang", "text").select("lang", F.split(F.lower("text"), "[ \t\n\r]+").alias("token"))
+    return lake.theme_group(rows, "token", "lang").where("theme <> ''").select("lang", F.col("theme").alias("token"), "count")
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> ''))), ' ') AS tokens FROM documents")
+def array_norm(spark, d):
+    return t(spark, d, "documents", "doc_id", "text").select("doc_id", F.array_join(R.sorted_set(F.filter(F.split("text", "[ \t\n\r]+"), lambda x: x != "")), " ").alias("tokens"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_field(spark, d):
+    return t(spark, d, "events", "event_id", "props").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT event_id, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS number, TRY_CAST(CASE WHEN regexp_full_match(event_type, '[0-9.]+') THEN event_type END AS DOUBLE) AS none FROM events")
+def safe_float(spark, d):
+    return t(spark, d, "events", "event_id", "props", "event_type").select("event_id", R.safe_double(F.regexp_extract("props", "([0-9]+)", 1)).alias("number"), R.safe_double(F.col("event_type")).alias("none"))
+
+
+@query("SELECT lang, count(*)::BIGINT AS texts, sum(first_id)::BIGINT AS ids FROM (SELECT text, lang, min(doc_id) AS first_id FROM documents GROUP BY text, lang) GROUP BY lang")
+def dedup_key(spark, d):
+    """Distinct (text, lang) with the smallest id; a 128-bit digest travels in place of the text."""
+    rows = t(spark, d, "documents", "doc_id", "text", "lang").select("doc_id", "lang", F.md5(F.col("text").cast("binary")).alias("key"))
+    return rows.groupBy("key", "lang").agg(F.min("doc_id").alias("first_id")).groupBy("lang").agg(F.count("*").alias("texts"), F.sum("first_id").alias("ids"))
+
+
+@query("SELECT doc_id, list_has_any(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> ''), ['the', 'der', 'les']) AS about, len(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+'), lambda x: starts_with(x, 'than'))) > 0 AS security FROM documents")
+def tag_flags(spark, d):
+    tokens = F.split(F.lower("text"), "[ \t\n\r]+")
+    return t(spark, d, "documents", "doc_id", "text").select("doc_id", R.is_about(tokens, ("the", "der", "les")).alias("about"), F.exists(tokens, lambda x: x.startswith("than")).alias("security"))
+
+
+@query(f"{DENSE} SELECT * FROM g")
+def dense_spine(spark, d):
+    return dense(spark, d)
+
+
+@query(f"{ROLLED} SELECT ts, event_type, observed FROM r")
+def rolling_hour(spark, d):
+    return spikes.rolling(dense(spark, d), "ts", "event_type").select("ts", "event_type", "observed")
+
+
+@query(f"""{DENSE} SELECT ts, event_type, CASE WHEN count(*) OVER w = 4 THEN sum("count") OVER w END::BIGINT AS observed FROM g WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS 3 PRECEDING)""")
+def rolling_strict(spark, d):
+    return spikes.rolling(dense(spark, d), "ts", "event_type", strict=True).select("ts", "event_type", "observed")
+
+
+def seasonal(spark, d):
+    return spikes.seasonal(spikes.rolling(dense(spark, d), "ts", "event_type"), "ts", "event_type")
+
+
+@query(f"{ROLLED} SELECT ts, event_type, n_history::INTEGER AS n_history, med AS median, mad FROM a")
+def seasonal_stats(spark, d):
+    return seasonal(spark, d).select("ts", "event_type", "n_history", "median", "mad")
+
+
+@query(f"{ROLLED} SELECT ts, event_type, round(score, 6) AS score FROM z")
+def spike_scores(spark, d):
+    return spikes.scores(seasonal(spark, d)).select("ts", "event_type", F.round("score", 6).alias("score"))
+
+
+@query(f"""{ROLLED}, e AS (SELECT *, lag(score >= 2 AND observed >= 3, 1, false) OVER (PARTITION BY event_type ORDER BY ts) AS was FROM z)
+SELECT event_type, ts AS slot, observed, med AS expected, round(score, 6) AS score FROM e WHERE score >= 2 AND observed >= 3 AND NOT was""")
+def spike_alerts(spark, d):
+    found = spikes.alerts(spikes.scores(seasonal(spark, d), 2.0, 3), "ts", "event_type")
+    return found.select("event_type", F.col("ts").alias("slot"), "observed", F.col("median").alias("expected"), F.round("score", 6).alias("score"))
+
+
+JOINED = """FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+
+
+def by_supplier(spark, d):
+    """Returned and all items of each supplier: aggregated before the joins."""
+    items = t(spark, d, "lineitem", "l_suppkey", "l_returnflag")
+    own = T.clusters(items.withColumn("one", F.lit(1)), "one", "l_suppkey", (F.col("l_returnflag") == "R").cast("long"), F.lit(1)).drop("one")
+    nation = t(spark, d, "nation", "n_nationkey", "n_regionkey").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return own.join(t(spark, d, "supplier", "s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("r_name").alias("group"), F.col("l_suppkey").alias("cluster"), "num", "den")
+
+
+CLUSTERS = f"SELECT r_name AS \"group\", l_suppkey AS cluster, count(*) FILTER (WHERE l_returnflag = 'R')::BIGINT AS num, count(*)::BIGINT AS den {JOINED} GROUP BY ALL"
+
+
+@query(CLUSTERS)
+def cluster_sums(spark, d):
+    return by_supplier(spark, d)
+
+
+@query(f"""SELECT "group", sum(num)::BIGINT AS num, sum(den)::BIGINT AS den, round(sum(num) / sum(den), 8) AS share, count(*)::BIGINT AS clusters FROM ({CLUSTERS}) GROUP BY ALL""")
+def group_share(spark, d):
+    return by_supplier(spark, d).groupBy("group").agg(F.sum("num").alias("num"), F.sum("den").alias("den"), F.round(F.sum("num") / F.sum("den"), 8).alias("share"), F.count("*").alias("clusters"))
+
+
+@query(f"""WITH c AS ({CLUSTERS}) SELECT round(sum(num) FILTER (WHERE "group" = 'ASIA') / sum(den) FILTER (WHERE "group" = 'ASIA') - sum(num) FILTER (WHERE "group" = 'EUROPE') / sum(den) FILTER (WHERE "group" = 'EUROPE'), 8) AS difference FROM c""")
+def ratio_diff(spark, d):
+    share = lambda g: F.sum(F.when(F.col("group") == g, F.col("num"))) / F.sum(F.when(F.col("group") == g, F.col("den")))
+    return by_supplier(spark, d).agg(F.round(share("ASIA") - share("EUROPE"), 8).alias("difference"))
+
+
+BOOT = f"""WITH c AS ({CLUSTERS}), m AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY cluster) - 1 AS i, count(*) OVER (PARTITION BY "group") AS n FROM c WHERE "group" IN ('ASIA', 'EUROPE')),
+draws AS (SELECT g."group", b.b, ('0x' || substr(md5(b.b || ':' || k.k || ':' || g."group"), 1, 8))::BIGINT % g.n AS i FROM (SELECT DISTINCT "group", n FROM m) g, range(200) b(b), range(1000) k(k) WHERE k.k < g.n),
+r AS (SELECT d."group", d.b, sum(num) / sum(den) AS r FROM draws d JOIN m ON m."group" = d."group" AND m.i = d.i GROUP BY ALL),
+x AS (SELECT b, max(r) FILTER (WHERE "group" = 'ASIA') - max(r) FILTER (WHERE "group" = 'EUROPE') AS d FROM r GROUP BY b),
+v AS (SELECT sum(num) FILTER (WHERE "group" = 'ASIA') / sum(den) FILTER (WHERE "group" = 'ASIA') - sum(num) FILTER (WHERE "group" = 'EUROPE') / sum(den) FILTER (WHERE "group" = 'EUROPE') AS value FROM c),
+ci AS (SELECT (SELECT value FROM v) AS value, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM x)"""
+
+
+@query(f"{BOOT} SELECT round(value, 7) AS value, round(low, 7) AS low, round(high, 7) AS high FROM ci")
+def bootstrap_ci(spark, d):
+    got = T.ratio_difference(by_supplier(spark, d), "ASIA", "EUROPE", resamples=200)
+    return got.select(*[F.round(c, 7).alias(c) for c in ("value", "low", "high")])
+
+
+@query(f"{BOOT} SELECT CASE WHEN low > -0.005 AND high < 0.005 THEN 'same within the margin' WHEN low <= 0 AND high >= 0 THEN 'no detectable difference' ELSE 'different' END AS verdict, low > 0 AS above, high < 0 AS below FROM ci")
+def equivalence_verdict(spark, d):
+    got = T.ratio_difference(by_supplier(spark, d), "ASIA", "EUROPE", resamples=200)
+    return got.select(T.equivalence(F.col("low"), F.col("high"), 0.005).alias("verdict"), T.above(F.col("low")).alias("above"), T.below(F.col("high")).alias("below"))
+
+
+@query("SELECT l_returnflag, round(avg(l_discount) FILTER (WHERE l_linestatus = 'F'), 6) AS f, round(avg(l_discount) FILTER (WHERE l_linestatus = 'O'), 6) AS o FROM lineitem GROUP BY ALL")
+def mean_pivot(spark, d):
+    return t(spark, d, "lineitem", "l_returnflag", "l_linestatus", "l_discount").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).avg("l_discount").select("l_returnflag", F.round("F", 6).alias("f"), F.round("O", 6).alias("o"))
+
+
+WILSON = """WITH s AS (SELECT lang AS stratum, count(*) FILTER (WHERE quality = 1)::BIGINT AS k, count(*)::BIGINT AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL),
+w AS (SELECT *, k / n AS p, 1.959963984540054 AS z FROM s),
+v AS (SELECT stratum, k, n, p AS value, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) AS low, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) AS high FROM w)"""
+
+
+def rated(spark, d):
+    rows = t(spark, d, "labels", "doc_id", "quality").join(t(spark, d, "documents", "doc_id", "lang"), "doc_id")
+    return T.precision(rows.select(F.col("lang").alias("stratum"), F.when(F.col("quality") == 1, " Yes ").otherwise("N").alias("label")))
+
+
+@query(f"{WILSON} SELECT stratum, k, n, round(value, 8) AS value, round(low, 8) AS low, round(high, 8) AS high FROM v")
+def wilson_precision(spark, d):
+    return rated(spark, d).select("stratum", "k", "n", *[F.round(c, 8).alias(c) for c in ("value", "low", "high")])
+
+
+@query(f"{WILSON} SELECT stratum, low > 0.8 AS above, high < 0.9 AS below, low > 0.7 AND high < 1 AS inside, low > (SELECT high FROM v WHERE stratum = 'fr') AS beats FROM v")
+def interval_flags(spark, d):
+    rows = rated(spark, d)
+    fr = rows.where("stratum = 'fr'").agg(F.max("high").alias("h"))  # one row
+    return rows.join(F.broadcast(fr)).select("stratum", (F.col("low") > 0.8).alias("above"), (F.col("high") < 0.9).alias("below"), ((F.col("low") > 0.7) & (F.col("high") < 1)).alias("inside"), (F.col("low") > F.col("h")).alias("beats"))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'y' WHEN toxic = 0 THEN 'n' END AS label FROM labels")
+def label_normalise(spark, d):
+    raw = F.when(F.col("quality") == 1, " YES").when(F.col("toxic") == 0, "No ").otherwise("not sure")
+    return t(spark, d, "labels").select("doc_id", T.normal_label(raw).alias("label"))
+
+
+THEMES = f"""WITH x AS ({TOKENS} WHERE lang IN ('en', 'de')), c AS (SELECT token, count(*) FILTER (WHERE lang = 'en') AS a, count(*) FILTER (WHERE lang = 'de') AS b FROM x WHERE token <> '' GROUP BY token),
+s AS (SELECT *, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM c), l AS (SELECT token, a::BIGINT AS a, b::BIGINT AS b, round(ln((a / ta) / (b / tb)), 6) AS log_ratio FROM s WHERE a >= 5 AND b >= 5 AND NOT starts_with(token, 'x'))"""
+
+
+def ratios(spark, d):
+    rows = t(spark, d, "documents", "lang", "text").where(F.col("lang").isin("en", "de")).select("lang", F.explode(F.split(F.lower("text"), "[ \t\n\r]+")).alias("token")).where("token <> ''")
+    c = rows.groupBy("token").agg(F.count_if(F.col("lang") == "en").alias("a"), F.count_if(F.col("lang") == "de").alias("b"))
+    total = rows.agg(F.count_if(F.col("lang") == "en").alias("ta"), F.count_if(F.col("lang") == "de").alias("tb"))  # over all tokens, one row
+    kept = c.where((F.col("a") >= 5) & (F.col("b") >= 5) & ~F.col("token").startswith("x")).join(F.broadcast(total))
+    return kept.select("token", "a", "b", F.round(F.ln((F.col("a") / F.col("ta")) / (F.col("b") / F.col("tb"))), 6).alias("log_ratio"))
+
+
+@query(f"{THEMES} SELECT * FROM l")
+def theme_log_ratio(spark, d):
+    return ratios(spark, d)
+
+
+@query(f"{THEMES}, r AS (SELECT *, row_number() OVER (ORDER BY log_ratio, token) AS up, row_number() OVER (ORDER BY log_ratio DESC, token DESC) AS down FROM l) SELECT token, a, b, log_ratio FROM r WHERE up <= 10 OR down <= 10")
+def theme_top_bottom(spark, d):
+    """A report of ten at either end: two ordered limits, no global window."""
+    rows = ratios(spark, d)
+    return rows.orderBy("log_ratio", "token").limit(10).union(rows.orderBy(F.desc("log_ratio"), F.desc("token")).limit(10)).distinct()
+
+
+EMBED = """WITH p AS (SELECT s.vec_id AS src_id, x.vec_id AS dst_id, list_inner_product(s.embedding::DOUBLE[], x.embedding::DOUBLE[]) AS score FROM embeddings s JOIN embeddings x ON s.label < 5 AND x.label >= 5 AND abs(s.vec_id - x.vec_id) <= 48),
+r AS (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY score DESC, dst_id) AS n FROM p),
+e AS (SELECT s.vec_id AS src_id, r.dst_id, round(coalesce(r.score, -1), 6) AS score FROM embeddings s LEFT JOIN r ON r.src_id = s.vec_id AND r.n = 1 WHERE s.label < 5)"""
+
+
+def embedded(spark, d):
+    v = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("vec_id").alias("t"), "label")
+    return matching.top_by_vector(v.where("label < 5"), v.where("label >= 5"), 48).select("src_id", "dst_id", F.round("score", 6).alias("score"))
+
+
+@query(f"{EMBED} SELECT * FROM e")
+def embed_top1(spark, d):
+    return embedded(spark, d)
+
+
+ENTITY = """WITH o AS (SELECT o_orderkey AS id, epoch(o_orderdate)::BIGINT AS t, o_orderpriority AS pr FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')),
+e AS (SELECT DISTINCT o.*, l_suppkey AS e FROM o JOIN lineitem ON l_orderkey = o.id),
+f AS (SELECT e FROM e GROUP BY e HAVING count(*) < 0.06 * (SELECT count(*) FROM o)), k AS (SELECT e.* FROM e JOIN f USING (e)),
+p AS (SELECT a.id AS src_id, b.id AS dst_id, count(*)::BIGINT AS shared, min(b.t) AS dt FROM k a JOIN k b ON a.e = b.e AND a.pr = '1-URGENT' AND b.pr = '2-HIGH' AND abs(a.t - b.t) <= 172800 GROUP BY ALL HAVING count(*) >= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY shared DESC, dt, dst_id) AS n FROM p),
+q AS (SELECT o.id AS src_id, r.dst_id, coalesce(r.shared, 0) AS shared FROM o LEFT JOIN r ON r.src_id = o.id AND r.n = 1 WHERE o.pr = '1-URGENT')"""
+
+
+def entity(spark, d):
+    o = t(spark, d, "orders", "o_orderkey", "o_orderdate", "o_orderpriority").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    e = t(spark, d, "lineitem", "l_orderkey", "l_suppkey").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("entities"))
+    rows = o.join(e, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("id"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("t"), "entities", "o_orderpriority")
+    return matching.top_by_entities(rows.where("o_orderpriority = '1-URGENT'"), rows.where("o_orderpriority = '2-HIGH'"), 172800, 0.06)
+
+
+@query(f"{ENTITY} SELECT * FROM q")
+def entity_top1(spark, d):
+    return entity(spark, d)
+
+
+@query(EMBED + ", " + ENTITY.removeprefix("WITH ").replace("e AS (SELECT DISTINCT", "e2 AS (SELECT DISTINCT").replace("f AS (SELECT e FROM e ", "f AS (SELECT e FROM e2 ").replace("SELECT e.* FROM e JOIN", "SELECT e2.* FROM e2 JOIN").replace("p AS (SELECT a.id", "p2 AS (SELECT a.id").replace("FROM p),\nq", "FROM p2),\nq").replace("r AS (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY shared", "r2 AS (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY shared").replace("SELECT o.id AS src_id, r.dst_id, coalesce(r.shared, 0)", "SELECT o.id AS src_id, r2.dst_id, coalesce(r2.shared, 0)").replace("LEFT JOIN r ON r.src_id = o.id AND r.n = 1 WHERE o.pr", "LEFT JOIN r2 ON r2.src_id = o.id AND r2.n = 1 WHERE o.pr") + " SELECT src_id, dst_id, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, src_id) AS n FROM e) WHERE n <= (SELECT count(*) FROM q WHERE shared >= 2)")
+def equal_coverage(spark, d):
+    return matching.equal_coverage(embedded(spark, d), "score", entity(spark, d).where("shared >= 2"), "src_id")
+
+
+@query("SELECT o_orderpriority AS stratum, o_orderkey, item::INTEGER AS item FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('1:' || o_orderkey), o_orderkey) AS item FROM orders) WHERE item <= 25")
+def stratified_sample(spark, d):
+    return matching.first_by_hash(t(spark, d, "orders", "o_orderpriority", "o_orderkey"), "o_orderpriority", "o_orderkey", 25).select(F.col("o_orderpriority").alias("stratum"), "o_orderkey", "item")
+
+
+@query(f"""WITH x AS (SELECT event_type AS g, epoch({SLOT})::BIGINT AS t, event_id FROM events), m AS (SELECT DISTINCT g, t FROM x WHERE t % 86400 = 43200),
+r AS (SELECT m.g, m.t, x.event_id, x.t AS xt, row_number() OVER (PARTITION BY m.g, m.t ORDER BY x.t, lpad(x.event_id::VARCHAR, 12, '0')) AS n FROM m JOIN x ON x.g = m.g AND x.t BETWEEN m.t - 2700 AND m.t)
+SELECT g, t, string_agg(lpad(event_id::VARCHAR, 12, '0'), ' | ' ORDER BY n) AS headlines FROM r WHERE n <= 8 GROUP BY g, t""")
+def correlated_headlines(spark, d):
+    x = events(spark, d, "event_id").select(F.col("event_type").alias("g"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("title"))
+    return matching.headlines(x.where("t % 86400 = 43200").select("g", "t").distinct(), x, 2700, 8, "t", "g", "title")
+
+
+@query(f"{DENSE} SELECT ts FROM s WHERE ts NOT IN (SELECT ts FROM c)")
+def missing_slots(spark, d):
+    one = counts(spark, d)
+    return checks.missing(S.spine(one, "ts"), one, "ts")
+
+
+@query("SELECT user_id, event_type, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def dedup_keep_last(spark, d):
+    return lake.keep_last(t(spark, d, "events", "user_id", "event_type", "event_id", "ts", "value"), ["user_id", "event_type"], ["ts", "event_id"])
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*)::BIGINT AS n_rows, count(*) FILTER (WHERE event_type = 'error')::BIGINT AS relevant, count(*)::BIGINT AS lake_rows, count(*) FILTER (WHERE event_type = 'error')::BIGINT AS lake_relevant, true AS ok FROM events GROUP BY ALL")
+def reconcile_days(spark, d):
+    rows = t(spark, d, "events", "ts", "event_type").withColumn("day", F.to_date("ts"))
+    one = rows.groupBy("day").agg(F.count("*").alias("n_rows"), F.count_if(F.col("event_type") == "error").alias("relevant"))
+    by = rows.groupBy("day", "event_type").agg(F.count("*").alias("n"))
+    other = by.groupBy("day").agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("event_type") == "error", F.col("n")).otherwise(0)).alias("relevant"))
+    return checks.reconcile(other, one)
+
+
+@query(f"""SELECT strftime({SLOT}, '%Y%m%d%H%M%S') AS slot, count(*)::BIGINT AS "rows", count(*)::BIGINT AS about, count(*) FILTER (WHERE event_type = 'error')::BIGINT AS errors FROM events GROUP BY ALL""")
+def stream_equals_batch(spark, d):
+    """The events as message files through the stateful stream."""
+    rows = events(spark, d, "event_id").select(S.to_stamp(F.col("ts").cast("timestamp")).alias("slot"), "event_id", "event_type")
+    articles = rows.select("slot", F.lit("en").alias("feed"), F.col("event_id").cast("string").alias("id"), F.lit("").alias("url"), "event_type")
+    body = articles.select(F.lit("article").alias("kind"), "slot", "feed", "id", "url", F.lit(True).alias("about"), (F.col("event_type") == "error").alias("security"), F.col("event_type").alias("group"), F.lit(None).cast("int").alias("ids"))
+    marks = monitor.announce(articles).select("kind", "slot", "feed", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("url"), F.lit(False).alias("about"), F.lit(False).alias("security"), F.lit(None).cast("string").alias("group"), "ids")
+    seq = F.col("slot").cast("long") * 10 + F.when(F.col("kind") == "done", 1).otherwise(0)
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lakesignal-")) + f"/monitor-{abs(hash((d, id(rows))))}"
+    body.unionByName(marks).withColumn("seq", seq).withColumn("sent_at", F.lit(0.0)).write.mode("overwrite").json(f"{base}/in")
+    closed = monitor.closed_slots(monitor.read_messages(spark, f"{base}/in"), ("en",), 1 << 20)
+    stream = closed.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    got = spark.read.schema(monitor.CLOSED).parquet(f"{base}/out")
+    return got.select("slot", "rows", "about", F.coalesce(F.get_json_object("security", "$.error").cast("long"), F.lit(0)).alias("errors"))
+
+
+@query("SELECT CASE WHEN n_chars >= 5000 THEN 'long' WHEN n_chars >= 1000 THEN 'middle' ELSE 'short' END AS band, count(*)::BIGINT AS n FROM documents WHERE length(text) > 15 GROUP BY ALL")
+def headline_eligible(spark, d):
+    band = F.when(F.col("n_chars") >= 5000, "long").when(F.col("n_chars") >= 1000, "middle").otherwise("short")
+    return t(spark, d, "documents", "text", "n_chars").where(F.length("text") > 15).groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(value)::BIGINT AS n FROM events GROUP BY ALL")
+def lag_quantiles(spark, d):
+    return t(spark, d, "events", "event_type", "value").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.count("value").alias("n"))
+
+
+@query("""WITH b AS (SELECT o_orderpriority AS engine, (o_orderkey % 4 + 1)::BIGINT AS workers, quantile_cont(o_totalprice, 0.5) AS med, min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*)::BIGINT AS n FROM orders GROUP BY ALL)
+SELECT b.engine, b.workers, round(b.med, 4) AS median, b.lo AS "min", b.hi AS "max", b.n, round(o.med / b.med, 6) AS speed_up, round(o.med / b.med / b.workers, 6) AS efficiency FROM b LEFT JOIN b o ON o.engine = b.engine AND o.workers = 1""")
+def scaling_summary(spark, d):
+    runs = t(spark, d, "orders", "o_orderpriority", "o_orderkey", "o_totalprice").select(F.col("o_orderpriority").alias("engine"), (F.col("o_orderkey") % 4 + 1).alias("workers"), F.col("o_totalprice").alias("wall_s"))
+    got = T.scaling(runs, ("engine",))
+    return got.select("engine", "workers", F.round("median", 4).alias("median"), "min", "max", "n", F.round("speed_up", 6).alias("speed_up"), F.round("efficiency", 6).alias("efficiency"))
+
+
+@query("SELECT count(*)::BIGINT AS texts, sum(length(text))::BIGINT AS chars FROM (SELECT text FROM documents UNION SELECT text FROM benchmark)")
+def union_distinct(spark, d):
+    rows = t(spark, d, "documents", "text").union(t(spark, d, "benchmark", "text"))
+    keyed = rows.select(F.sha2(F.col("text").cast("binary"), 256).alias("key"), F.length("text").alias("n"))
+    return keyed.groupBy("key").agg(F.first("n").alias("n")).agg(F.count("*").alias("texts"), F.sum("n").cast("long").alias("chars"))
+
+
+@query("SELECT kind, count(*)::BIGINT AS n FROM (SELECT 'document' AS kind, text FROM documents UNION ALL SELECT 'benchmark', text FROM benchmark) GROUP BY ALL")
+def union_all(spark, d):
+    rows = t(spark, d, "documents", "text").select(F.lit("document").alias("kind"), "text").unionByName(t(spark, d, "benchmark", "text").select(F.lit("benchmark").alias("kind"), "text"))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""{DENSE} SELECT strftime(g.ts, '%Y%m%d%H%M%S') AS slot, event_type AS "group", "count" AS in_stream, "count" AS in_batch, false AS differ FROM g""")
+def series_compare(spark, d):
+    one = counts(spark, d).select(S.to_stamp(F.col("ts").cast("timestamp")).alias("slot"), F.col("event_type").alias("group"), "count")
+    grid = dense(spark, d).select(S.to_stamp(F.col("ts").cast("timestamp")).alias("slot"), F.col("event_type").alias("group"))
+    return checks.compare_series(one, one, grid)
