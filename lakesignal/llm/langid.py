@@ -117,14 +117,14 @@ class Model:
         return lang, np.clip(score, 0, 1)
 
 
-def _descend(x: np.ndarray, grad, width: int, steps: int = 250, rate: float = 2.0) -> np.ndarray:
+def _descend(x: np.ndarray, grad, width: int, steps: int = 150, rate: float = 2.0) -> np.ndarray:
     """Full-batch descent with Nesterov momentum; the last row is the bias."""
-    w, v = np.zeros((x.shape[1] + 1, width)), np.zeros((x.shape[1] + 1, width))
+    w, v = np.zeros((x.shape[1] + 1, width), np.float32), np.zeros((x.shape[1] + 1, width), np.float32)
     for _ in range(steps):
-        ahead = w + 0.9 * v
-        g = grad(x @ ahead[:-1] + ahead[-1])
-        d = np.vstack([x.T @ g + 1e-4 * ahead[:-1], g.sum(axis=0)])
-        v = 0.9 * v - rate * d
+        ahead = w + np.float32(0.9) * v
+        g = grad(x @ ahead[:-1] + ahead[-1]).astype(np.float32)
+        d = np.vstack([(g.T @ x).T + np.float32(1e-4) * ahead[:-1], g.sum(axis=0)])
+        v = np.float32(0.9) * v - np.float32(rate) * d
         w = w + v
     return w
 
@@ -142,7 +142,7 @@ def fit_arrays(x: np.ndarray, langs: list[str]) -> Model:
         p[np.arange(len(y)), y] -= 1
         return p / len(y)
 
-    soft = _descend(x, softmax_grad, len(families), rate=8.0) if len(families) > 1 else np.zeros((x.shape[1] + 1, 1))
+    soft = _descend(x, softmax_grad, len(families), rate=30.0, steps=250) if len(families) > 1 else np.zeros((x.shape[1] + 1, 1))
     pairs, ws, slopes = [], [], []
     of = np.array(langs)
     for f, own in enumerate(members):
