@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import _arrays as A
 from ._spark import tuned
 
-CACHE = 250_000
+CACHE = 600_000
 #: Bytes of distinct words in one recursive query.
 QUERY_BYTES = 400_000
 
@@ -72,6 +72,7 @@ class Codec:
             self.db.register("given", t)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
+        self.pieces: dict[str, list[int]] = {}
         self.body: dict[str, tuple[str, bytes]] = {}
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
@@ -121,8 +122,11 @@ class Codec:
 
     def _learn(self, pieces: list[list[str]], keys: list[str], memory: dict) -> None:
         """Remember ids text and decoded bytes of each key, cut into pieces."""
-        fresh = list({p for own in pieces for p in own})
-        ids = dict(zip(fresh, self.encode_words([p.encode() for p in fresh]), strict=True))
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        fresh = list({p for own in pieces for p in own}.difference(self.pieces))
+        ids = self.pieces
+        ids.update(zip(fresh, self.encode_words([p.encode() for p in fresh]), strict=True))
         lists = [list(chain.from_iterable(ids[p] for p in own)) for own in pieces]
         for k, x, b in zip(keys, lists, self.decode_lists(lists), strict=True):
             memory[k] = (" ".join(map(str, x)), b)

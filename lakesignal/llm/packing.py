@@ -14,6 +14,7 @@ Null text counts as empty (the closing id only); repeated rows are packed each.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -29,34 +30,64 @@ from ._spark import materialize, tuned
 LENGTH, CLOSING = 2048, 0
 OPEN = 256
 GROUP = 30_000
-CACHE = 500_000
+CACHE = 1_000_000
+
+
+#: A word of letters with punctuation after it: two tokens' worth of text.
+_TAIL = re.compile(r"([^\W\d_]+)([^\w\s]+)")
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space, through a bounded
-    memory of the pieces between blanks (no token crosses a blank)."""
+    """Ids of texts by a lower-casing tokenizer that drops white space, through
+    a bounded memory of the pieces between blanks (no token crosses a blank).
+
+    A new piece that is letters, or letters and then punctuation, is put
+    together from its lower-cased letters and its punctuation, which the
+    tokenizer separates anyway; so spellings of one word are encoded once.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _encode(self, new: list[str]) -> None:
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(got.ids, "<u4").tobytes()
+            bounds = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
+            self.parts.update((w, raw[s:e]) for w, s, e in zip(part, bounds, bounds[1:], strict=False))
+
+    @staticmethod
+    def _split(word: str) -> tuple[str, ...]:
+        if word.isalpha():
+            own = (word,)
+        elif (m := _TAIL.fullmatch(word)) and m[1].isalpha():
+            own = m.groups()
+        else:
+            return (word,)
+        low = own[0].lower() if own[0].isascii() or not _CONTEXT.search(own[0]) else own[0]
+        return (low, *own[1:])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.known) > CACHE:
             self.known.clear()
+        if len(self.parts) > CACHE:
+            self.parts.clear()
         cut = [(x or "").split(" ") for x in texts]
-        new = list(set().union(*cut).difference(self.known))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            bounds = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
-            raw = ids.tobytes()
-            self.known.update((w, raw[4 * s : 4 * e]) for w, s, e in zip(part, bounds, bounds[1:], strict=False))
+        new = {w: self._split(w) for w in set().union(*cut).difference(self.known)}
+        self._encode(list({p for own in new.values() for p in own}.difference(self.parts)))
+        parts = self.parts
+        self.known.update((w, parts[own[0]] if len(own) == 1 else parts[own[0]] + parts[own[1]]) for w, own in new.items())
         return [b"".join(map(self.known.__getitem__, x)) for x in cut]
 
 
+#: Letters whose small form depends on their neighbours or is several letters.
+_CONTEXT = re.compile("[\u03a3\u0130]")
+
 _IDS: dict[str, WordIds] = {}
 
 
