@@ -75,8 +75,8 @@ def outcomes(fetched: DataFrame) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a given schema; lines that are not JSON are dropped."""
-    bad = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return bad.where("_bad IS NULL").drop("_bad")
+    row = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return spark.read.text(path).select(row.alias("r")).where("r._bad IS NULL").select("r.*").drop("_bad")
 
 
 def write_sheet(df: DataFrame, path: str) -> None:
