@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries.
 
 Each partition runs its own in-memory DuckDB.  A recursive query holds one row
-for each token position of each distinct word; every step joins neighbouring
-tokens with the merge table, contracts each word's leftmost pair of least rank
-and drops words that have none.  Decoding joins tokens with the vocabulary and
+for each token position of each distinct word (``spot`` is the word's number
+and the position); every step joins neighbouring tokens with the merge table,
+contracts each word's leftmost pair of least rank and marks the words that have
+none as done; those leave the recursion.  Decoding joins tokens with the vocabulary and
 concatenates their bytes in an ordered aggregation.
 
 Words are the matches of the split pattern.  A text is first cut before single
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import chain
+from itertools import chain, islice
 
 import duckdb
 import numpy as np
@@ -37,17 +38,17 @@ CACHE = 600_000
 QUERY_BYTES = 400_000
 
 ENCODE = """
-WITH RECURSIVE step(n, w, pos, tok) AS (
-    SELECT 0, w, pos, tok FROM bytes
+WITH RECURSIVE step(spot, tok, done) AS (
+    SELECT spot, tok, false FROM bytes
   UNION ALL
-    SELECT n + 1, w, pos, CASE WHEN pos = (low & 4294967295) THEN low >> 32 ELSE tok END
-    FROM (SELECT n, w, pos, tok, before, min((m.id << 32) | pos) OVER (PARTITION BY w) AS low
-          FROM (SELECT n, w, pos, tok, lead(tok) OVER seq AS after, lag(pos) OVER seq AS before
-                FROM step WINDOW seq AS (PARTITION BY w ORDER BY pos)) p
-          LEFT JOIN merges m ON m.l = p.tok AND m.r = p.after)
-    WHERE low IS NOT NULL AND before IS DISTINCT FROM (low & 4294967295)
+    (WITH live AS (SELECT spot, tok FROM step WHERE NOT done),
+     least AS (SELECT l.spot >> 32 AS w, min(m.id << 32 | (l.spot & 4294967295)) AS low
+               FROM live l JOIN live r ON r.spot = l.spot + 1 JOIN merges m ON m.pair = (l.tok << 32 | r.tok) GROUP BY 1),
+     aimed AS (SELECT spot, tok, w << 32 | (low & 4294967295) AS here, low >> 32 AS id FROM live LEFT JOIN least ON w = spot >> 32)
+     SELECT CASE WHEN spot > here THEN spot - 1 ELSE spot END, CASE WHEN spot = here THEN id ELSE tok END, here IS NULL
+     FROM aimed WHERE spot IS DISTINCT FROM here + 1)
 )
-SELECT w, pos, tok FROM (SELECT *, max(n) OVER (PARTITION BY w) AS last FROM step) WHERE n = last ORDER BY w, pos
+SELECT spot, tok FROM step WHERE done ORDER BY spot
 """
 DECODE = "SELECT t.w AS w, unhex(string_agg(v.hex, '' ORDER BY t.pos)) AS b FROM tokens t JOIN vocab v ON v.id = t.tok GROUP BY t.w ORDER BY t.w"
 
@@ -57,6 +58,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Memory:
+    """The ids, as text, and the decoded bytes of strings."""
+
+    def __init__(self):
+        self.ids: dict[str, str] = {}
+        self.raw: dict[str, bytes] = {}
+
+
 class Codec:
     """The vocabulary in DuckDB, with the bounded memory of words."""
 
@@ -66,21 +75,22 @@ class Codec:
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        merges = pa.table(dict(zip("lr", np.array(pairs, np.int64).T[:2], strict=True)) | {"id": np.array([x[2] for x in pairs], np.int64)})
+        left, right, id_ = np.array(pairs, np.int64).T
+        merges = pa.table({"pair": left << 32 | right, "id": id_})
         vocab = pa.table({"id": pa.array(list(self.ranks.values()), pa.int64()), "hex": [t.hex() for t in self.ranks]})
         for name, t in (("merges", merges), ("vocab", vocab)):
             self.db.register("given", t)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        self.pieces: dict[str, list[int]] = {}
-        self.body: dict[str, tuple[str, bytes]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.body = Memory()
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+    def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of distinct words, by the recursive query."""
-        out: list[list[int]] = [[]] * len(words)
+        out: list[tuple[int, ...]] = [()] * len(words)
         for i, w in enumerate(words):
             if (r := self.ranks.get(w)) is not None:
-                out[i] = [r]
+                out[i] = (r,)
         todo = sorted((i for i, w in enumerate(words) if w and not out[i]), key=lambda i: len(words[i]))
         at = 0
         while at < len(todo):
@@ -93,17 +103,17 @@ class Codec:
             w = np.repeat(np.arange(len(part)), length)
             pos = np.arange(len(w)) - np.repeat(np.cumsum(length) - length, length)
             tok = self.byte[np.frombuffer(b"".join(words[i] for i in part), np.uint8)]
-            self.db.register("bytes", pa.table({"w": w, "pos": pos, "tok": tok}))
+            self.db.register("bytes", pa.table({"spot": w << 32 | pos, "tok": tok}))
             got = self.db.execute(ENCODE).fetchnumpy()
             self.db.unregister("bytes")
-            cuts = np.searchsorted(got["w"], np.arange(len(part) + 1)).tolist()
-            ids = got["tok"].tolist()
+            cuts = np.searchsorted(got["spot"] >> 32, np.arange(len(part) + 1)).tolist()
+            ids = tuple(got["tok"].tolist())
             for k, i in enumerate(part):
                 out[i] = ids[cuts[k] : cuts[k + 1]]
             at = end
         return out
 
-    def decode_lists(self, lists: list[list[int]]) -> list[bytes]:
+    def decode_lists(self, lists: list) -> list[bytes]:
         """Bytes of each list of ids, by the ordered aggregation."""
         length = np.array([len(x) for x in lists], np.int64)
         out, at = [b""] * len(lists), 0
@@ -120,43 +130,45 @@ class Codec:
             at = end
         return out
 
-    def _learn(self, pieces: list[list[str]], keys: list[str], memory: dict) -> None:
+    def _learn(self, pieces: list[list[str]], keys: list[str], memory: Memory) -> None:
         """Remember ids text and decoded bytes of each key, cut into pieces."""
         if len(self.pieces) > CACHE:
             self.pieces.clear()
-        fresh = list({p for own in pieces for p in own}.difference(self.pieces))
+        fresh = list(set(chain.from_iterable(pieces)).difference(self.pieces))
         ids = self.pieces
         ids.update(zip(fresh, self.encode_words([p.encode() for p in fresh]), strict=True))
-        lists = [list(chain.from_iterable(ids[p] for p in own)) for own in pieces]
-        for k, x, b in zip(keys, lists, self.decode_lists(lists), strict=True):
-            memory[k] = (" ".join(map(str, x)), b)
+        lists = [ids[own[0]] if len(own) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, own))) for own in pieces]
+        memory.ids.update(zip(keys, [" ".join(map(str, x)) for x in lists], strict=True))
+        memory.raw.update(zip(keys, self.decode_lists(lists), strict=True))
 
     def round_trips(self, texts: list[str | None]) -> list[tuple[str, bytes]]:
         """Decimal ids joined by a blank, and the decoded bytes, of each text."""
-        if len(self.body) > CACHE:
-            self.body.clear()
+        body = self.body
+        if len(body.ids) > CACHE:
+            body.ids.clear()
+            body.raw.clear()
         cut = [x.split(" ") if x else [] for x in texts]
         # keys: pieces with the blank before them; a text's first piece has none
-        firsts = {segs[0] for segs in cut if segs}
-        rest = set().union(*(segs[1:] for segs in cut)) if cut else set()
-        bad = {s for s in rest if not s or s[0].isspace()}
-        new = [" " + s for s in rest - bad if s not in self.body]
-        self._learn([[k] if k[1:].isalpha() else self.pattern.findall(k) for k in new], [k[1:] for k in new], self.body)
-        head: dict = {}
-        heads = [s for s in firsts if s]
+        fresh = set().union(*(islice(segs, 1, None) for segs in cut)).difference(body.ids)
+        bad = {s for s in fresh if not s or s[0].isspace()}
+        new = list(fresh - bad)
+        self._learn([[" " + s] if s.isalpha() else self.pattern.findall(" " + s) for s in new], new, body)
+        head, whole = Memory(), Memory()
+        heads = list({segs[0] for segs in cut if segs and segs[0]})
         self._learn([self.pattern.findall(s) for s in heads], heads, head)
-        odd = [i for i, segs in enumerate(cut) if not bad.isdisjoint(segs[1:])] if bad else []
-        whole: dict = {}
-        self._learn([self.pattern.findall(texts[i]) for i in odd], odd, whole)
+        odd = {i for i, segs in enumerate(cut) if not bad.isdisjoint(islice(segs, 1, None))} if bad else set()
+        wholes = list({texts[i] for i in odd})
+        self._learn([self.pattern.findall(x) for x in wholes], wholes, whole)
         out = []
         for i, segs in enumerate(cut):
-            if i in whole:
-                out.append(whole[i])
+            if i in odd:
+                out.append((whole.ids[texts[i]], whole.raw[texts[i]]))
                 continue
-            got = list(map(self.body.__getitem__, segs[1:]))
-            if segs and segs[0]:
-                got.insert(0, head[segs[0]])
-            out.append((" ".join([a for a, _ in got]), b"".join([b for _, b in got])))
+            first = segs[:1] if segs and segs[0] else []
+            rest = segs[1:]
+            ids = chain(map(head.ids.__getitem__, first), map(body.ids.__getitem__, rest))
+            raw = chain(map(head.raw.__getitem__, first), map(body.raw.__getitem__, rest))
+            out.append((" ".join(ids), b"".join(raw)))
         return out
 
 
