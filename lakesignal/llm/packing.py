@@ -15,6 +15,7 @@ Null text counts as empty (the closing id only); repeated rows are packed each.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -44,6 +45,8 @@ class WordIds:
     A new piece that is letters, or letters and then punctuation, is put
     together from its lower-cased letters and its punctuation, which the
     tokenizer separates anyway; so spellings of one word are encoded once.
+    Combining marks are no punctuation: the tokenizer composes them with the
+    letter before, so a piece with any is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -64,7 +67,7 @@ class WordIds:
     def _split(word: str) -> tuple[str, ...]:
         if word.isalpha():
             own = (word,)
-        elif (m := _TAIL.fullmatch(word)) and m[1].isalpha():
+        elif (m := _TAIL.fullmatch(word)) and m[1].isalpha() and (m[2].isascii() or all(unicodedata.category(c)[0] in "PS" for c in m[2])):
             own = m.groups()
         else:
             return (word,)

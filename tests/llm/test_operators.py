@@ -283,6 +283,16 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, queries.WORD_BPE).count() == 0
 
 
+def test_word_ids_of_combining_marks():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.WORD_BPE)
+    t.encode_special_tokens = True
+    texts = ["cafe\u0301", "Jose\u0301, Ame\u0301lie cafe\u0301.", "a\u0323\u0302! E\u0301\u0301 x=\u0338", "\u0301 a \u0301b", "n\u200d. \u0e01\u0e33\u0e48 caf\u00e9\u2026 \u00abword\u00bb word\u00bb word\u20ac", "\u1100\u1161\u11a8. \u212bngstrom; \u03a3\u0391\u03a3."]
+    got = packing.WordIds(queries.WORD_BPE)(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_best_fit_closes_the_fullest():
     fit = packing.BestFit(10, 2)
     assert [fit.place(n) for n in (7, 6, 5, 4, 3, 10)] == [(0, 0), (1, 0), (2, 0), (1, 6), (2, 5), (3, 0)]
