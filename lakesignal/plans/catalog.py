@@ -320,6 +320,13 @@ def correlated_headlines(spark, d):
     return matching.headlines(x.where("t % 86400 = 43200").select("g", "t").distinct(), x, 2700, 8, "t", "g", "title")
 
 
+@query(ORACLES["correlated_headlines"].replace(" WHERE t % 86400 = 43200", ""))
+def correlated_headlines_all(spark, d):
+    """Every (type, slot) with an event is a mark; ``correlated_headlines`` has the noon slots only."""
+    x = events(spark, d, "event_id").select(F.col("event_type").alias("g"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("title"))
+    return matching.headlines(x.select("g", "t").distinct(), x, 2700, 8, "t", "g", "title")
+
+
 @query(f"{DENSE} SELECT ts FROM s WHERE ts NOT IN (SELECT ts FROM c)")
 def missing_slots(spark, d):
     one = counts(spark, d)

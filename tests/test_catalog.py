@@ -31,3 +31,14 @@ def test_query(spark, db, name):
 
 def test_names():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def test_headlines_of_every_slot(spark):
+    """Against brute force over a small part of the events."""
+    rows = [(r.event_type, int(r.t) // 900 * 900, f"{r.event_id:012d}") for r in spark.read.parquet(f"{SF}/events.parquet").selectExpr("event_type", "event_id", "unix_seconds(cast(ts AS timestamp)) AS t").collect()]
+    want = {}
+    for g, t in {r[:2] for r in rows}:
+        want[g, t] = " | ".join(x for _, x in sorted((u, x) for h, u, x in rows if h == g and t - 2700 <= u <= t)[:8])
+    got = {(r.g, r.t): r.headlines for r in catalog.QUERIES["correlated_headlines_all"](spark, SF).collect()}
+    assert got == want
+    assert any(t % 86400 != 43200 for _, t in got)
