@@ -210,6 +210,22 @@ def equivalence_verdict(spark, d):
     return got.select(T.equivalence(F.col("low"), F.col("high"), 0.005).alias("verdict"), T.above(F.col("low")).alias("above"), T.below(F.col("high")).alias("below"))
 
 
+#: The operator's 2000 resamples, as many draws as the larger group has clusters.
+BOOT_FULL = BOOT.replace("range(200) b(b)", "range(2000) b(b)").replace("range(1000) k(k)", "(SELECT unnest(range((SELECT max(n) FROM m))) AS k) k")
+
+
+@query(f"{BOOT_FULL} SELECT round(value, 7) AS value, round(low, 7) AS low, round(high, 7) AS high FROM ci")
+def bootstrap_ci_full(spark, d):
+    got = T.ratio_difference(by_supplier(spark, d), "ASIA", "EUROPE")
+    return got.select(*[F.round(c, 7).alias(c) for c in ("value", "low", "high")])
+
+
+@query(f"{BOOT_FULL} SELECT CASE WHEN low > -0.005 AND high < 0.005 THEN 'same within the margin' WHEN low <= 0 AND high >= 0 THEN 'no detectable difference' ELSE 'different' END AS verdict, low > 0 AS above, high < 0 AS below FROM ci")
+def equivalence_verdict_full(spark, d):
+    got = T.ratio_difference(by_supplier(spark, d), "ASIA", "EUROPE")
+    return got.select(T.equivalence(F.col("low"), F.col("high"), 0.005).alias("verdict"), T.above(F.col("low")).alias("above"), T.below(F.col("high")).alias("below"))
+
+
 @query("SELECT l_returnflag, round(avg(l_discount) FILTER (WHERE l_linestatus = 'F'), 6) AS f, round(avg(l_discount) FILTER (WHERE l_linestatus = 'O'), 6) AS o FROM lineitem GROUP BY ALL")
 def mean_pivot(spark, d):
     return t(spark, d, "lineitem", "l_returnflag", "l_linestatus", "l_discount").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).avg("l_discount").select("l_returnflag", F.round("F", 6).alias("f"), F.round("O", 6).alias("o"))
