@@ -31,7 +31,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star and small-star in turn until nothing changes; minima are
     aggregated before they are joined back, so a hub is an ordinary skewed
-    join.  Each round is cut off by a reliable checkpoint.
+    join.  Each round is cut off by a reliable checkpoint.  If ``rounds`` do not
+    suffice, an error is raised, as the labels would be unfinished.
     """
     shared_dir(edges.sparkSession)
 
@@ -54,4 +55,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == was:
             break
         was = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return e.union(e.select("dst", "dst")).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("root"))

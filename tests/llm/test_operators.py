@@ -207,6 +207,15 @@ def test_simhash_links(spark):
     assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(k for k in got if got[k] == m) for m in set(got.values())}
 
 
+def test_components_are_never_unfinished(spark):
+    from lakesignal.llm._graph import components
+
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        components(path, rounds=1)
+    assert {(r.node, r.root) for r in components(path).collect()} == {(i, 0) for i in range(41)}
+
+
 def test_pii(docs, rows, empty):
     import re
 
