@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesignal.functions import records as R
@@ -363,20 +363,25 @@ def reconcile_days(spark, d):
     return checks.reconcile(other, one)
 
 
-@query(f"""SELECT strftime({SLOT}, '%Y%m%d%H%M%S') AS slot, count(*)::BIGINT AS "rows", count(*)::BIGINT AS about, count(*) FILTER (WHERE event_type = 'error')::BIGINT AS errors FROM events GROUP BY ALL""")
-def stream_equals_batch(spark, d):
-    """The events as message files through the stateful stream."""
+def closed(spark: SparkSession, d: str, security: Column) -> DataFrame:
+    """Closed slots of the events as message files, after the stateful stream."""
     rows = events(spark, d, "event_id").select(S.to_stamp(F.col("ts").cast("timestamp")).alias("slot"), "event_id", "event_type")
     articles = rows.select("slot", F.lit("en").alias("feed"), F.col("event_id").cast("string").alias("id"), F.lit("").alias("url"), "event_type")
-    body = articles.select(F.lit("article").alias("kind"), "slot", "feed", "id", "url", F.lit(True).alias("about"), (F.col("event_type") == "error").alias("security"), F.col("event_type").alias("group"), F.lit(None).cast("int").alias("ids"))
+    body = articles.select(F.lit("article").alias("kind"), "slot", "feed", "id", "url", F.lit(True).alias("about"), security.alias("security"), F.col("event_type").alias("group"), F.lit(None).cast("int").alias("ids"))
     marks = monitor.announce(articles).select("kind", "slot", "feed", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("url"), F.lit(False).alias("about"), F.lit(False).alias("security"), F.lit(None).cast("string").alias("group"), "ids")
     seq = F.col("slot").cast("long") * 10 + F.when(F.col("kind") == "done", 1).otherwise(0)
     base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lakesignal-")) + f"/monitor-{uuid.uuid4().hex[:12]}"
     body.unionByName(marks).withColumn("seq", seq).withColumn("sent_at", F.lit(0.0)).write.mode("overwrite").json(f"{base}/in")
-    closed = monitor.closed_slots(monitor.read_messages(spark, f"{base}/in"), ("en",), 1 << 20)
-    stream = closed.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    slots = monitor.closed_slots(monitor.read_messages(spark, f"{base}/in"), ("en",), 1 << 20)
+    stream = slots.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     stream.awaitTermination()
-    got = spark.read.schema(monitor.CLOSED).parquet(f"{base}/out")
+    return spark.read.schema(monitor.CLOSED).parquet(f"{base}/out")
+
+
+@query(f"""SELECT strftime({SLOT}, '%Y%m%d%H%M%S') AS slot, count(*)::BIGINT AS "rows", count(*)::BIGINT AS about, count(*) FILTER (WHERE event_type = 'error')::BIGINT AS errors FROM events GROUP BY ALL""")
+def stream_equals_batch(spark, d):
+    """The events as message files through the stateful stream."""
+    got = closed(spark, d, F.col("event_type") == "error")
     return got.select("slot", "rows", "about", F.coalesce(F.get_json_object("security", "$.error").cast("long"), F.lit(0)).alias("errors"))
 
 
@@ -412,8 +417,14 @@ def union_all(spark, d):
     return rows.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def closed_series(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by slot and type as the stream closed them."""
+    got = closed(spark, d, F.lit(True))
+    return got.select("slot", F.explode(F.from_json("security", "map<string, bigint>")).alias("group", "count"))
+
+
 @query(f"""{DENSE} SELECT strftime(g.ts, '%Y%m%d%H%M%S') AS slot, event_type AS "group", "count" AS in_stream, "count" AS in_batch, false AS differ FROM g""")
 def series_compare(spark, d):
     one = counts(spark, d).select(S.to_stamp(F.col("ts").cast("timestamp")).alias("slot"), F.col("event_type").alias("group"), "count")
     grid = dense(spark, d).select(S.to_stamp(F.col("ts").cast("timestamp")).alias("slot"), F.col("event_type").alias("group"))
-    return checks.compare_series(one, one, grid)
+    return checks.compare_series(closed_series(spark, d), one, grid)

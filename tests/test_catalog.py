@@ -67,3 +67,12 @@ def test_full_bootstrap_sql_draws_every_cluster(db):
     db.execute("CREATE TEMP TABLE made AS SELECT g AS \"group\", c AS cluster, 1 AS num, 2 AS den FROM (VALUES ('ASIA'), ('EUROPE')) g(g), range(1200) c(c)")
     drawn = db.execute(sql.replace("range(2000) b(b)", "range(2) b(b)") + " SELECT \"group\", b, count(*) FROM draws GROUP BY ALL").fetchall()
     assert len(drawn) == 4 and {n for _, _, n in drawn} == {1200}
+
+
+def test_series_compare_sees_a_wrong_stream(spark, monkeypatch):
+    """A message that the stream counts elsewhere differs in its cell and nowhere else."""
+    read = catalog.monitor.read_messages
+    other = spark.read.parquet(f"{SF}/events.parquet").agg({"event_id": "min"}).first()[0]
+    monkeypatch.setattr(catalog.monitor, "read_messages", lambda s, p: read(s, p).selectExpr("* EXCEPT (`group`)", f"if(id = '{other}', 'elsewhere', `group`) AS `group`"))
+    rows = catalog.QUERIES["series_compare"](spark, SF).where("differ").collect()
+    assert len(rows) == 1 and rows[0].in_batch - rows[0].in_stream == 1
