@@ -1,8 +1,9 @@
 """Personal data by a semi-Markov conditional random field.
 
 Base spans are exact pattern matches (email, ip, card, phone).  The field then
-reads a window of tokens around every trigger (an at sign or its spelling, a
-run of seven digits, a dotted quad, a plus): candidate segments of up to
+reads a window of tokens around every trigger (an at sign, an email spelled
+with ``at`` and ``dot`` in any case, a run of seven digits with at most two
+separators between them): candidate segments of up to
 ``MAX_TOKENS`` tokens are scored by features of the whole span (shape, digit
 count, check sum, octets, separators, neighbours), and dynamic programming over
 at most that many tokens for each entity chooses boundaries and types jointly.
@@ -105,7 +106,7 @@ def windows(text: str, base: list[Span]) -> list[tuple[int, int]]:
     while at >= 0:
         marks.append((at, at + 1))
         at = text.find("@", at + 1)
-    if "dot" in text or "DOT" in text:
+    if "dot" in text.lower():
         marks += [m.span() for m in _SPELLED.finditer(text)]
     out: list[list[int]] = []
     for s, e in sorted(marks):

@@ -241,6 +241,13 @@ def test_pii(docs, rows, empty):
     assert pii.digests(empty, pii.fit(empty)).count() == 0
 
 
+def test_pii_of_spellings_in_any_case(spark, docs):
+    texts = ["write to joe.b [at] mail [dot] org today", "write to joe.b [At] mail [Dot] org today", "write to joe.b (AT) mail (DoT) org today"]
+    assert all(pii.windows(x, []) for x in texts)
+    got = pii.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), pii.fit(docs)).collect()
+    assert all("email" in r.spans for r in got) and len(got) == 3
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(3000)]
