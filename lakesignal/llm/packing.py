@@ -15,7 +15,6 @@ Null text counts as empty (the closing id only); repeated rows are packed each.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 
 import numpy as np
@@ -31,65 +30,84 @@ from ._spark import materialize, tuned
 LENGTH, CLOSING = 2048, 0
 OPEN = 256
 GROUP = 30_000
-CACHE = 1_000_000
+#: Bytes of text that are encoded at a time; bytes, by estimate, of the units'
+#: ids that a worker remembers.
+SLICE, MEMORY = 2 << 20, 24 << 20
 
+# Characters whose normal form and kind depend on nothing around
+# them, and the tokenizer's split pattern over them.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_MARKS = "!-/:-@\\[-`{-~\u00a1\u00ab\u00b0\u00bb\u00bf\u2013\u2014\u2018-\u201d\u2026\u20ac"
+_PLAIN = re.compile(f"[{_LETTERS}{_MARKS}0-9 \t\n\r]*")
+_UNIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
 
-#: A word of letters with punctuation after it: two tokens' worth of text.
-_TAIL = re.compile(r"([^\W\d_]+)([^\w\s]+)")
+
+def byte_letters() -> list[str]:
+    """The letter for each byte in a byte-level vocabulary: printable Latin-1
+    bytes are their own, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(i) if i in own else chr(next(rest)) for i in range(256)]
 
 
 class WordIds:
-    """Ids of texts by a lower-casing tokenizer that drops white space, through
-    a bounded memory of the pieces between blanks (no token crosses a blank).
-
-    A new piece that is letters, or letters and then punctuation, is put
-    together from its lower-cased letters and its punctuation, which the
-    tokenizer separates anyway; so spellings of one word are encoded once.
-    Combining marks are no punctuation: the tokenizer composes them with the
-    letter before, so a piece with any is encoded whole.
+    """Ids of texts by a tokenizer that composes, lower-cases, drops white space
+    and merges byte letters within the matches of its split pattern.
+
+    A text of plain characters (see the fixed values) is lower-cased and split
+    here, and each distinct unit of a call goes through the merges once.  Other
+    texts are cut at blanks, which no token crosses: plain pieces as before,
+    any other piece is encoded whole by the tokenizer.  So are pieces with the
+    string of a special token, which is that token, as the library has it
+    (``special=False``: ordinary text).  The first units seen are remembered,
+    up to ``MEMORY`` bytes; no result depends on it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.added = re.compile("|".join(added)) if added else None
+        self.letters = dict(enumerate(byte_letters()))
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, new: list[str]) -> None:
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(got.ids, "<u4").tobytes()
-            bounds = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
-            self.parts.update((w, raw[s:e]) for w, s, e in zip(part, bounds, bounds[1:], strict=False))
-
-    @staticmethod
-    def _split(word: str) -> tuple[str, ...]:
-        if word.isalpha():
-            own = (word,)
-        elif (m := _TAIL.fullmatch(word)) and m[1].isalpha() and (m[2].isascii() or all(unicodedata.category(c)[0] in "PS" for c in m[2])):
-            own = m.groups()
-        else:
-            return (word,)
-        low = own[0].lower() if own[0].isascii() or not _CONTEXT.search(own[0]) else own[0]
-        return (low, *own[1:])
+        self.size = 0
+
+    def _plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not (self.added and "<" in text and self.added.search(text))
+
+    def _units(self, text: str) -> list[str]:
+        """Keys of a text's ids: units, and pieces to be encoded whole behind a NUL."""
+        if self._plain(text):
+            return _UNIT.findall(text.lower())
+        out: list[str] = []
+        for piece in text.split(" "):
+            if self._plain(piece):
+                out += _UNIT.findall(piece.lower())
+            else:
+                out.append("\0" + piece)
+        return out
+
+    def _ids(self, key: str) -> bytes:
+        if key[0] == "\0":
+            return np.array(self.tokenizer.encode(key[1:], add_special_tokens=False).ids, "<u4").tobytes()
+        if not key.isascii():
+            key = key.encode().decode("latin-1").translate(self.letters)
+        return b"".join([x.id.to_bytes(4, "little") for x in self.tokenizer.model.tokenize(key)])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-        cut = [(x or "").split(" ") for x in texts]
-        new = {w: self._split(w) for w in set().union(*cut).difference(self.known)}
-        self._encode(list({p for own in new.values() for p in own}.difference(self.parts)))
-        parts = self.parts
-        self.known.update((w, parts[own[0]] if len(own) == 1 else parts[own[0]] + parts[own[1]]) for w, own in new.items())
-        return [b"".join(map(self.known.__getitem__, x)) for x in cut]
-
+        cut = [self._units(x) if x else [] for x in texts]
+        known = self.known
+        now = {x: known[x] if x in known else self._ids(x) for x in set().union(*cut)}
+        out = [b"".join(map(now.__getitem__, x)) for x in cut]
+        for x, ids in now.items():
+            if self.size >= MEMORY:
+                break
+            if x not in known:
+                known[x] = ids
+                self.size += len(x) + len(ids) + 180
+        return out
 
-#: Letters whose small form depends on their neighbours or is several letters.
-_CONTEXT = re.compile("[\u03a3\u0130]")
 
 _IDS: dict[str, WordIds] = {}
 
@@ -107,7 +125,7 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
 
     def run(batches):
         encode = word_ids(path)
-        for b in A.slices(batches, "text"):
+        for b in A.slices(batches, "text", SLICE):
             keys = b.column(0)
             row, piece, start, size, crc = [], [], [], [], []
             for i, ids in enumerate(encode(b.column(1).to_pylist())):

@@ -277,7 +277,6 @@ def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.WORD_BPE)
-    t.encode_special_tokens = True
     want = []
     for r in rows:
         ids = t.encode(r[1] or "", add_special_tokens=False).ids + [0]
@@ -299,14 +298,27 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, queries.WORD_BPE).count() == 0
 
 
-def test_word_ids_of_combining_marks():
+def test_word_ids_equal_the_tokenizers():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.WORD_BPE)
-    t.encode_special_tokens = True
-    texts = ["cafe\u0301", "Jose\u0301, Ame\u0301lie cafe\u0301.", "a\u0323\u0302! E\u0301\u0301 x=\u0338", "\u0301 a \u0301b", "n\u200d. \u0e01\u0e33\u0e48 caf\u00e9\u2026 \u00abword\u00bb word\u00bb word\u20ac", "\u1100\u1161\u11a8. \u212bngstrom; \u03a3\u0391\u03a3."]
+    texts = ["cafe\u0301", "Jose\u0301, Ame\u0301lie cafe\u0301.", "naive\u0301, A\u0301", "a\u0323\u0302! E\u0301\u0301 x=\u0338", "\u0301 a \u0301b", "n\u200d. \u0e01\u0e33\u0e48 caf\u00e9\u2026 \u00abword\u00bb word\u00bb word\u20ac", "\u1100\u1161\u11a8. \u212bngstrom; \u03a3\u0391\u03a3.", "\u0130' \u0130s", "a<|endoftext|>b <|startoftext|>"]
+    rng = random.Random(6)
+    some = ["a", "B", "\u00e9", "\u00c9", "\u00df", "'", "'s", "'LL", " ", "  ", "\n", "\t", "12", "\u00bd", "-", "...", "\u201c", "\u2026", "\u0301", "\u0338", "\u0307", "\u0130", "\u03a3", "\u0958", "\u212b", "\u6f22", "<|endoftext|>", "<|", "|>", "\x0b", "\x85", "\xa0", "\xad", "\xaa", "\0"]
+    texts += ["".join(rng.choices(some, k=rng.randint(0, 14))) for _ in range(8000)]
     got = packing.WordIds(queries.WORD_BPE)(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    t.encode_special_tokens = True
+    got = packing.WordIds(queries.WORD_BPE, special=False)(texts[:12])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts[:12]]
+
+
+def test_word_ids_forget_without_change(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY", 500)
+    w, rng = packing.WordIds(queries.WORD_BPE), random.Random(2)
+    texts = ["".join(rng.choices("abc ,", k=30)) for _ in range(200)]
+    assert w(texts) == w(texts) == packing.WordIds(queries.WORD_BPE)(texts)
+    assert w.size < 10_000
 
 
 def test_best_fit_closes_the_fullest():
@@ -331,6 +343,31 @@ def test_bpe(docs, rows, empty):
     assert bpe.digests(empty, *args).count() == 0
 
 
+def test_bpe_words_are_the_tokens_of_the_ranks():
+    """Each token's bytes merge into it alone, which the long words' query rests on."""
+    import public_tokenizers
+
+    c = bpe.Codec(queries.BYTE_BPE, public_tokenizers.PATTERN)
+    tokens = list(c.ranks)
+    assert c.encode_words(tokens) == [(c.ranks[x],) for x in tokens]
+
+
+def test_bpe_long_words_and_odd_texts(monkeypatch):
+    import public_tokenizers
+    import tiktoken
+
+    c = bpe.Codec(queries.BYTE_BPE, public_tokenizers.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    rng = random.Random(3)
+    texts = ["a" * 50_000, "ab" * 25_000, "aab" * 99 + "c", "".join(rng.choices("etaoinshrdlu", k=50_000)), "".join(rng.choices("qzxjkvbw", k=3000)), "".join(rng.choices("0123456789", k=3000)), " " * 3000 + "x", "\u6f22" * 3000]
+    some = ["a", "B", "\u00e9", "'", "'s", "'LL", " ", "  ", "\n", "\t", "\r\n", "12", "\u00bd", "...", "\u2026", "\u0301", "\u0130", "\u6f22", "\x0b", "\x1c", "\x85", "\xa0", "the", "tion"]
+    texts += ["".join(rng.choices(some, k=rng.randint(0, 30))) for _ in range(6000)]
+    monkeypatch.setattr(bpe, "MEMORY", 100_000)
+    for x, (ids, raw) in zip(texts, c.round_trips(texts), strict=True):
+        assert ids == " ".join(map(str, enc.encode_ordinary(x))) and raw == x.encode()
+    assert c.round_trips(texts[-50:]) == c.round_trips(texts[-50:])
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(700, 16)).astype(np.float32)
