@@ -4,24 +4,30 @@ Each partition runs its own in-memory DuckDB.  A recursive query holds one row
 for each token position of each distinct word (``spot`` is the word's number
 and the position); every step joins neighbouring tokens with the merge table,
 contracts each word's leftmost pair of least rank and marks the words that have
-none as done; those leave the recursion.  Decoding joins tokens with the vocabulary and
-concatenates their bytes in an ordered aggregation.
-
-Words are the matches of the split pattern.  A text is first cut before single
-blanks: where no blank is followed by white space, a pattern match never
-crosses such a cut, so pieces between cuts are looked up in a bounded memory of
-earlier results (``CACHE`` entries; it only saves work).  A text where a blank
-is followed by white space, or ends it, is split by the pattern as a whole.
-
-Null text counts as empty: no tokens, empty decoded text.  A word of n bytes
-takes up to n - 1 steps, each over the words still active.
+none as done; those leave the recursion.  Decoding joins tokens with the
+vocabulary and concatenates their bytes in an ordered aggregation.
+
+Words are the matches of the split pattern; every distinct word of a slice of
+texts goes through the query, those that are a token themselves included.  The
+first words seen are remembered, up to ``MEMORY`` bytes; no result depends on it.
+
+Words over ``LONG`` bytes are first cut between two bytes that no token holds
+side by side, which no merge can cross.  What is still longer goes through a
+second query, whose step contracts all occurrences of the least pair that do
+not overlap, leftmost first.  That is the same as one at a time, as a token's
+bytes by themselves merge into that token alone (true of ranks made by merging;
+tested for the file): so no contraction gives a pair of lesser rank.  A word
+takes as many steps as it uses different merges, not as it has bytes.
+
+Null text counts as empty: no tokens, empty decoded text.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import chain, islice
+import re
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -33,9 +39,15 @@ from pyspark.sql import functions as F
 from . import _arrays as A
 from ._spark import tuned
 
-CACHE = 600_000
-#: Bytes of distinct words in one recursive query.
-QUERY_BYTES = 400_000
+#: Bytes of text that are encoded at a time; bytes, by estimate, of what a
+#: worker remembers of words; bytes of distinct words in one recursive query;
+#: bytes of a word that is contracted one pair at a step.
+SLICE, MEMORY, QUERY_BYTES, LONG = 2 << 20, 40 << 20, 200_000, 48
+
+# Plain characters by kind, as the split pattern's classes have them.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_MARKS = "!-/:-@\\[-`{-~\u00a1\u00ab\u00b0\u00bb\u00bf\u2013\u2014\u2018-\u201d\u2026\u20ac"
+_PLAIN = re.compile(f"[{_LETTERS}{_MARKS}0-9 \t\n\r]*")
 
 ENCODE = """
 WITH RECURSIVE step(spot, tok, done) AS (
@@ -50,6 +62,24 @@ WITH RECURSIVE step(spot, tok, done) AS (
 )
 SELECT spot, tok FROM step WHERE done ORDER BY spot
 """
+ENCODE_LONG = """
+WITH RECURSIVE step(spot, nxt, tok, done) AS (
+    SELECT spot, spot + 1, tok, false FROM bytes
+  UNION ALL
+    (WITH live AS MATERIALIZED (SELECT spot, nxt, tok FROM step WHERE NOT done),
+     pairs AS MATERIALIZED (SELECT l.spot, l.nxt, r.nxt AS after, m.id, l.tok = r.tok AS twin
+               FROM live l JOIN live r ON r.spot = l.nxt JOIN merges m ON m.pair = (l.tok << 32 | r.tok)),
+     least AS MATERIALIZED (SELECT spot >> 32 AS w, min(id) AS id FROM pairs GROUP BY 1),
+     hits AS MATERIALIZED (SELECT p.* FROM pairs p JOIN least ON w = spot >> 32 AND least.id = p.id),
+     twins AS (SELECT *, lag(nxt) OVER (ORDER BY spot) IS DISTINCT FROM spot AS head FROM hits WHERE twin),
+     runs AS (SELECT *, sum(head::INT) OVER (ORDER BY spot) AS run FROM twins),
+     picked AS MATERIALIZED (SELECT spot, nxt, after, id FROM hits WHERE NOT twin UNION ALL
+               SELECT spot, nxt, after, id FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY spot) AS n FROM runs) WHERE n % 2 = 1)
+     SELECT l.spot, coalesce(p.after, l.nxt), coalesce(p.id, l.tok), a.w IS NULL
+     FROM live l LEFT JOIN picked p ON p.spot = l.spot ANTI JOIN picked q ON q.nxt = l.spot LEFT JOIN least a ON a.w = l.spot >> 32)
+)
+SELECT spot, tok FROM step WHERE done ORDER BY spot
+"""
 DECODE = "SELECT t.w AS w, unhex(string_agg(v.hex, '' ORDER BY t.pos)) AS b FROM tokens t JOIN vocab v ON v.id = t.tok GROUP BY t.w ORDER BY t.w"
 
 
@@ -58,12 +88,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class Memory:
-    """The ids, as text, and the decoded bytes of strings."""
-
-    def __init__(self):
-        self.ids: dict[str, str] = {}
-        self.raw: dict[str, bytes] = {}
+def plain_form(pattern: str) -> re.Pattern | None:
+    """The pattern over plain characters, its classes spelled out; None if it
+    has others than letters, numbers and white space."""
+    p = pattern.replace(r"[^\s\p{L}\p{N}]", f"[{_MARKS}]").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", "[0-9]")
+    return None if r"\p" in p or "&&" in p else re.compile(p)
 
 
 class Codec:
@@ -71,7 +100,7 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.plain = regex.compile(pattern), plain_form(pattern)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
@@ -82,36 +111,45 @@ class Codec:
             self.db.register("given", t)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.body = Memory()
+        self.inner = np.zeros((256, 256), bool)  # bytes that some token holds side by side
+        for t in self.ranks:
+            b = np.frombuffer(t, np.uint8)
+            self.inner[b[:-1], b[1:]] = True
+        self.ids: dict[str, str] = {}
+        self.raw: dict[str, bytes] = {}
+        self.size = 0
+
+    def _parts(self, word: bytes) -> list[bytes]:
+        if len(word) <= LONG:
+            return [word]
+        b = np.frombuffer(word, np.uint8)
+        at = [0, *(np.flatnonzero(~self.inner[b[:-1], b[1:]]) + 1).tolist(), len(word)]
+        return [word[s:e] for s, e in zip(at, at[1:], strict=False)]
 
     def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of distinct words, by the recursive query."""
-        out: list[tuple[int, ...]] = [()] * len(words)
-        for i, w in enumerate(words):
-            if (r := self.ranks.get(w)) is not None:
-                out[i] = (r,)
-        todo = sorted((i for i, w in enumerate(words) if w and not out[i]), key=lambda i: len(words[i]))
+        """Ids of words, by the recursive queries."""
+        parts = [self._parts(w) for w in words]
+        todo = sorted(set(chain.from_iterable(parts)) - {b""}, key=len)
+        done: dict[bytes, tuple[int, ...]] = {b"": ()}
         at = 0
         while at < len(todo):
-            end, size = at, 0
-            while end < len(todo) and (end == at or size + len(words[todo[end]]) <= QUERY_BYTES):
-                size += len(words[todo[end]])
+            long, end, size = len(todo[at]) > LONG, at, 0
+            while end < len(todo) and (end == at or size + len(todo[end]) <= QUERY_BYTES) and (len(todo[end]) > LONG) == long:
+                size += len(todo[end])
                 end += 1
             part = todo[at:end]
-            length = np.array([len(words[i]) for i in part])
+            length = np.array([len(x) for x in part])
             w = np.repeat(np.arange(len(part)), length)
             pos = np.arange(len(w)) - np.repeat(np.cumsum(length) - length, length)
-            tok = self.byte[np.frombuffer(b"".join(words[i] for i in part), np.uint8)]
+            tok = self.byte[np.frombuffer(b"".join(part), np.uint8)]
             self.db.register("bytes", pa.table({"spot": w << 32 | pos, "tok": tok}))
-            got = self.db.execute(ENCODE).fetchnumpy()
+            got = self.db.execute(ENCODE_LONG if long else ENCODE).fetchnumpy()
             self.db.unregister("bytes")
             cuts = np.searchsorted(got["spot"] >> 32, np.arange(len(part) + 1)).tolist()
             ids = tuple(got["tok"].tolist())
-            for k, i in enumerate(part):
-                out[i] = ids[cuts[k] : cuts[k + 1]]
+            done.update((x, ids[s:e]) for x, s, e in zip(part, cuts, cuts[1:], strict=False))
             at = end
-        return out
+        return [done[own[0]] if len(own) == 1 else tuple(chain.from_iterable(map(done.__getitem__, own))) for own in parts]
 
     def decode_lists(self, lists: list) -> list[bytes]:
         """Bytes of each list of ids, by the ordered aggregation."""
@@ -130,46 +168,26 @@ class Codec:
             at = end
         return out
 
-    def _learn(self, pieces: list[list[str]], keys: list[str], memory: Memory) -> None:
-        """Remember ids text and decoded bytes of each key, cut into pieces."""
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        fresh = list(set(chain.from_iterable(pieces)).difference(self.pieces))
-        ids = self.pieces
-        ids.update(zip(fresh, self.encode_words([p.encode() for p in fresh]), strict=True))
-        lists = [ids[own[0]] if len(own) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, own))) for own in pieces]
-        memory.ids.update(zip(keys, [" ".join(map(str, x)) for x in lists], strict=True))
-        memory.raw.update(zip(keys, self.decode_lists(lists), strict=True))
+    def words(self, text: str) -> list[str]:
+        """The matches of the split pattern."""
+        return (self.plain if self.plain and _PLAIN.fullmatch(text) else self.pattern).findall(text)
 
     def round_trips(self, texts: list[str | None]) -> list[tuple[str, bytes]]:
         """Decimal ids joined by a blank, and the decoded bytes, of each text."""
-        body = self.body
-        if len(body.ids) > CACHE:
-            body.ids.clear()
-            body.raw.clear()
-        cut = [x.split(" ") if x else [] for x in texts]
-        # keys: pieces with the blank before them; a text's first piece has none
-        fresh = set().union(*(islice(segs, 1, None) for segs in cut)).difference(body.ids)
-        bad = {s for s in fresh if not s or s[0].isspace()}
-        new = list(fresh - bad)
-        self._learn([[" " + s] if s.isalpha() else self.pattern.findall(" " + s) for s in new], new, body)
-        head, whole = Memory(), Memory()
-        heads = list({segs[0] for segs in cut if segs and segs[0]})
-        self._learn([self.pattern.findall(s) for s in heads], heads, head)
-        odd = {i for i, segs in enumerate(cut) if not bad.isdisjoint(islice(segs, 1, None))} if bad else set()
-        wholes = list({texts[i] for i in odd})
-        self._learn([self.pattern.findall(x) for x in wholes], wholes, whole)
-        out = []
-        for i, segs in enumerate(cut):
-            if i in odd:
-                out.append((whole.ids[texts[i]], whole.raw[texts[i]]))
-                continue
-            first = segs[:1] if segs and segs[0] else []
-            rest = segs[1:]
-            ids = chain(map(head.ids.__getitem__, first), map(body.ids.__getitem__, rest))
-            raw = chain(map(head.raw.__getitem__, first), map(body.raw.__getitem__, rest))
-            out.append((" ".join(ids), b"".join(raw)))
-        return out
+        cut = [self.words(x) if x else [] for x in texts]
+        every = set().union(*cut)
+        fresh = list(every.difference(self.ids))
+        lists = self.encode_words([w.encode() for w in fresh])
+        new = dict(zip(fresh, [" ".join(map(str, x)) for x in lists], strict=True))
+        back = dict(zip(fresh, self.decode_lists(lists), strict=True))
+        known = every.intersection(self.ids)
+        ids, raw = ({w: m[w] for w in known} | n for m, n in ((self.ids, new), (self.raw, back)))
+        for w, x in new.items():
+            if self.size >= MEMORY:
+                break
+            self.ids[w], self.raw[w] = x, back[w]
+            self.size += len(w) + len(x) + len(back[w]) + 350
+        return [(" ".join(map(ids.__getitem__, own)), b"".join(map(raw.__getitem__, own))) for own in cut]
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -191,7 +209,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
     def run(batches):
         c = codec(path, pattern)
-        for b in A.slices(batches, text):
+        for b in A.slices(batches, text, SLICE):
             ids = [np.array(x.split(), np.int32) for x, _ in c.round_trips(b.column(names.index(text)).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*names, out])
 
@@ -224,7 +242,7 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
 
     def run(batches):
         c = codec(path, pattern)
-        for b in A.slices(batches, "text"):
+        for b in A.slices(batches, "text", SLICE):
             got = c.round_trips(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
