@@ -21,7 +21,7 @@ BASE = 0x9E3779B97F4A7C15  # odd multiplier of the rolling hash
 BASE_INV = pow(BASE, -1, 1 << 64)
 
 
-def slices(batches, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each piece holds about ``limit`` bytes of
     ``column`` (one row at least, so a longer text comes alone)."""
     for batch in batches:
@@ -79,34 +79,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-class _Powers:
-    up = np.ones(1, U64)
-    down = np.ones(1, U64)
+#: Powers that a worker keeps; longer texts make their own for the time being.
+KEPT = (1 << 20) + 8
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_Powers.up) < n:
-        n = 1 << (n - 1).bit_length()
-        for name, b in (("up", BASE), ("down", BASE_INV)):
-            x = np.full(n, U64(b))
-            x[0] = 1
-            setattr(_Powers, name, np.multiply.accumulate(x))
-    return _Powers.up[:n], _Powers.down[:n]
+def _powers(n: int, base: int) -> np.ndarray:
+    x = np.full(n, U64(base))
+    x[0] = 1
+    return np.multiply.accumulate(x)
+
+
+@lru_cache(maxsize=2)
+def _kept(base: int) -> np.ndarray:
+    return _powers(KEPT, base)
+
+
+def powers(n: int, base: int = BASE) -> np.ndarray:
+    """base**i modulo 2**64 for i < n."""
+    return _kept(base)[:n] if n <= KEPT else _powers(n, base)
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """H with H[j]-H[i] = sum of (byte+1)*BASE**k over i<=k<j."""
-    up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=out[1:])
+    if len(data):
+        np.cumsum((data.astype(U64) + U64(1)) * powers(len(data)), out=out[1:])
     return out
 
 
 def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each byte span that depends on its content only."""
-    _, down = powers(len(h))
-    return mix((h[ends] - h[starts]) * down[starts] + (ends - starts).astype(U64))
+    return mix((h[ends] - h[starts]) * powers(len(h), BASE_INV)[starts] + (ends - starts).astype(U64))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -36,8 +36,7 @@ def _grams(gram: int):
         if n <= 0:
             return np.zeros(0, np.uint64), off
         h = A.prefix_hash(data)
-        _, down = A.powers(n)
-        return A.mix((h[gram:] - h[:-gram]) * down), off
+        return A.mix((h[gram:] - h[:-gram]) * A.powers(n, A.BASE_INV)), off
 
     return run
 
