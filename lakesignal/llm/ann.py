@@ -1,17 +1,19 @@
 """Nearest neighbours by a block matrix join.
 
-Queries and candidates are cut into blocks, one row each.  Every query block
-meets every candidate block once (a join on the block numbers).  A tile of
-int8 products, with each vector's quantisation residual, bounds every inner
-product; pairs whose upper bound does not reach the best k lower bounds, or
-the k-th exact score so far, are dropped, the others are recomputed in double
-precision.  Heaps keep each query's best k in a tile and merge them afterwards.
+Queries are dealt into groups, candidates too, and each task multiplies one
+group of queries with one of candidates: it holds its queries and reads the
+candidates block by block.  A tile of int8 products, with each vector's
+quantisation residual, bounds every inner product; pairs whose upper bound does
+not reach the best k lower bounds, or the k-th exact score so far, are dropped,
+the others are recomputed in double precision.  Heaps keep each query's best k
+in a task and merge them afterwards.  A vector travels once for each group of
+the other side, and there are as many tasks as pairs of groups.
 
 The result is exact.  Equal candidate vectors of a block are one vector with
 its k + 1 smallest ids, which is all that can reach the best k.  Vectors that
 are null, zero or hold null or non-finite components take no part, nor do
-vectors of another length than the query's (compared by length group).
-Repeated rows of one id count as one if their vectors are equal.
+vectors of another length than the query's.  Repeated rows of one id count as
+one if their vectors are equal.  Rows without an id take no part.
 """
 
 from __future__ import annotations
@@ -20,13 +22,16 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import partitions, tuned
+from ._spark import partitions
 
 TOP = 20
-QUERY_BLOCK, BLOCK = 1024, 8192
+#: Queries and candidates of a task at most (by count, dealt by a hash), and
+#: candidates of a block.
+QUERY_GROUP, GROUP, BLOCK = 16_384, 1 << 23, 8192
 #: The sum of this many products of int8 codes is exact in float32.
 EXACT_DIM = 1024
 
@@ -69,7 +74,7 @@ class Block:
         self.norm = np.sqrt((self.x**2).sum(axis=1)) * (1 + 1e-9)
 
 
-def tile(qid: np.ndarray, q: np.ndarray, block: Block, k: int, heaps: dict[int, list]) -> None:
+def tile(qid: np.ndarray, q: np.ndarray, block: Block, k: int, heaps: list[list]) -> None:
     """Fold the block into the queries' heaps of (score, -id)."""
     codes, scale, rest = quantise(q)
     near = products(codes, block.codes) * scale[:, None] * block.scale[None, :]
@@ -77,8 +82,7 @@ def tile(qid: np.ndarray, q: np.ndarray, block: Block, k: int, heaps: dict[int,
     # |q.c - near| <= |q - q'| |c| + |q'| |c - c'|, and |q'| <= |q| + |q - q'|
     slack = rest[:, None] * block.norm[None, :] + (norm + rest)[:, None] * block.rest[None, :] + 1e-12 * norm[:, None] * block.norm[None, :]
     low, high = near - slack, near + slack
-    for i in range(len(qid)):
-        heap = heaps.setdefault(int(qid[i]), [])
+    for i, heap in enumerate(heaps):
         bar = heap[0][0] if len(heap) == k else -np.inf
         if low.shape[1] > k:  # one of the k + 1 best may be the query itself
             bar = max(bar, np.partition(low[i], low.shape[1] - k - 1)[low.shape[1] - k - 1])
@@ -99,53 +103,72 @@ def tile(qid: np.ndarray, q: np.ndarray, block: Block, k: int, heaps: dict[int,
                         break
 
 
-def _blocks(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """One row for each block of about ``size`` vectors of one length, and the number of blocks."""
-    rows = df.count()
-    n = max(1, -(-rows // size))
-
-    def run(batches):
-        ids, xs, where = [], [], []
-        for b in batches:
-            ids.append(b.column(0).to_numpy(zero_copy_only=False))
-            where.append(b.column(1).to_numpy(zero_copy_only=False))
-            xs.extend(np.asarray(x, "<f8").tobytes() for x in b.column(2).to_pylist())
-        if not ids:
+class Task:
+    """The queries of a task, by length, and the candidates not yet multiplied."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.queries: dict[int, list] = {}
+        self.waiting: dict[int, list] = {}
+        self.ready: dict[int, tuple] = {}
+
+    def add(self, ids: np.ndarray, vectors: pa.Array, kind: np.ndarray) -> None:
+        size = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+        for dim in np.unique(size):
+            for is_candidate, held in ((False, self.queries), (True, self.waiting)):
+                at = np.flatnonzero((size == dim) & (kind.astype(bool) == is_candidate))
+                if len(at):
+                    held.setdefault(int(dim), []).append((ids[at], vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), int(dim))))
+        for dim, parts in self.waiting.items():
+            if sum(len(i) for i, _ in parts) >= BLOCK:
+                self.multiply(dim)
+
+    def multiply(self, dim: int) -> None:
+        parts = self.waiting[dim]
+        self.waiting[dim] = []
+        if not parts or dim not in self.queries:
             return
-        id_, at = np.concatenate(ids), np.concatenate(where)
-        dim = np.array([len(x) // 8 for x in xs])
-        for key in sorted(set(zip(at.tolist(), dim.tolist(), strict=True))):
-            own = np.flatnonzero((at == key[0]) & (dim == key[1]))
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([id_[own].astype("<i8").tobytes()]), pa.array([b"".join(xs[i] for i in own)])], names=[name, f"{name}_dim", f"{name}_ids", f"{name}_x"])
-
-    dealt = df.select("id", F.pmod(F.xxhash64(F.lit(name), "id"), F.lit(n)).cast("int").alias("block"), "x")
-    return dealt.repartitionById(n, "block").mapInArrow(run, f"{name} int, {name}_dim int, {name}_ids binary, {name}_x binary"), n
+        if dim not in self.ready:  # the queries come first, so they are complete
+            qid, q = (np.concatenate(c) for c in zip(*self.queries[dim], strict=True))
+            self.ready[dim] = (qid, q, [[] for _ in qid])
+        qid, q, heaps = self.ready[dim]
+        block = Block(np.concatenate([i for i, _ in parts]), np.concatenate([x for _, x in parts]), self.k + 1)
+        for at in range(0, len(qid), 128):
+            tile(qid[at : at + 128], q[at : at + 128], block, self.k, heaps[at : at + 128])
+
+    def best(self):
+        for dim in list(self.waiting):
+            self.multiply(dim)
+        for qid, _, heaps in self.ready.values():
+            for at in range(0, len(qid), 1000):
+                own = [sorted(h, reverse=True) for h in heaps[at : at + 1000]]
+                yield pa.RecordBatch.from_arrays([pa.array(qid[at : at + 1000], pa.int64()), pa.array([[s for s, _ in x] for x in own], pa.list_(pa.float64())), pa.array([[-v for _, v in x] for x in own], pa.list_(pa.int64()))], names=["query_id", "scores", "ids"])
 
 
 def nearest(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = TOP) -> DataFrame:
     """The ``k`` nearest of all other rows to each row where ``queries`` holds:
     query_id, rank, vec_id, score."""
-    spark = tuned(df.sparkSession)
+    spark = df.sparkSession
     x = F.col(vector).cast("array<double>")
     ok = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     rows = df.withColumn("is_query", F.coalesce(queries, F.lit(False))).select(F.col(key).cast("long").alias("id"), x.alias("x"), "is_query").where(F.col("id").isNotNull() & F.col("x").isNotNull() & ok)
-    left, _ = _blocks(rows.where("is_query").select("id", "x").distinct(), QUERY_BLOCK, "q")
-    right, n_right = _blocks(rows.select("id", "x"), BLOCK, "c")
-    each = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
-    met = each.withColumnRenamed("c", "at").join(right, (F.col("q_dim") == F.col("c_dim")) & (F.col("at") == F.col("c")))
+    size = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
+    r = max(1, -(-size["q"] // QUERY_GROUP))
+    c = max(1, -(-size["n"] // GROUP), min(-(-partitions(spark) // r), -(-size["n"] // BLOCK)))
+
+    def dealt(n: int):  # the group of an id among n
+        return F.pmod(F.xxhash64("id", F.lit(n)), F.lit(n)).cast("int")
+
+    left = rows.where("is_query").select("id", "x").distinct().select(F.explode(F.sequence(dealt(r) * c, dealt(r) * c + c - 1)).alias("task"), F.lit(0).alias("kind"), "id", "x")
+    right = rows.select(F.explode(F.sequence(dealt(c), F.lit((r - 1) * c) + dealt(c), F.lit(c))).alias("task"), F.lit(1).alias("kind"), "id", "x")
+    met = left.unionByName(right).repartitionById(r * c, "task").sortWithinPartitions("kind")
 
     def tiles(batches):
-        held, block = None, None
+        task = Task(k)
         for b in batches:
-            for r in b.to_pylist():
-                if held != (r["c"], r["c_dim"]):
-                    held = (r["c"], r["c_dim"])
-                    block = Block(np.frombuffer(r["c_ids"], "<i8"), np.frombuffer(r["c_x"], "<f8").reshape(-1, r["c_dim"]), k + 1)
-                ids, q, heaps = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_x"], "<f8").reshape(-1, r["q_dim"]), {}
-                for at in range(0, len(ids), 128):
-                    tile(ids[at : at + 128], q[at : at + 128], block, k, heaps)
-                best = [sorted(heaps[i], reverse=True) for i in heaps]
-                yield pa.RecordBatch.from_arrays([pa.array(list(heaps), pa.int64()), pa.array([[s for s, _ in x] for x in best], pa.list_(pa.float64())), pa.array([[-v for _, v in x] for x in best], pa.list_(pa.int64()))], names=["query_id", "scores", "ids"])
+            if b.num_rows:
+                task.add(b.column(2).to_numpy(zero_copy_only=False), b.column(3), b.column(1).to_numpy(zero_copy_only=False))
+        yield from task.best()
 
     def merged(batches):
         held: dict[int, list] = {}
@@ -158,8 +181,7 @@ def nearest(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "
         if held:
             yield _ranked(held, k)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    best = met.sortWithinPartitions("c", "c_dim").mapInArrow(tiles, "query_id long, scores array<double>, ids array<long>")
+    best = met.mapInArrow(tiles, "query_id long, scores array<double>, ids array<long>")
     return best.repartition(partitions(spark), "query_id").sortWithinPartitions("query_id").mapInArrow(merged, "query_id long, rank int, vec_id long, score double")
 
 

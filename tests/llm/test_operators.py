@@ -368,19 +368,19 @@ def test_bpe_long_words_and_odd_texts(monkeypatch):
     assert c.round_trips(texts[-50:]) == c.round_trips(texts[-50:])
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize(("group", "block"), [(16_384, 200), (8, 50)])
+def test_nearest(spark, monkeypatch, group, block):
+    monkeypatch.setattr(ann, "BLOCK", block)
+    monkeypatch.setattr(ann, "QUERY_GROUP", group)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     rng = np.random.default_rng(0)
     x = rng.normal(size=(700, 16)).astype(np.float32)
     x[100:400] = x[0]
     data = [(i, [float(v) for v in x[i]]) for i in range(700)]
     data += [(700, None), (720, [0.0] * 16), (740, [float("nan")] * 16), (760, [1.0, None] * 8), (None, [1.0] * 16), (780, [1.0] * 3), (7, data[7][1])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3)
-    old = ann.BLOCK
-    ann.BLOCK = 200
-    try:
-        got = ann.nearest(df, F.col("vec_id") % 20 == 0).collect()
-    finally:
-        ann.BLOCK = old
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
     want = []
     y = x.astype(np.float64)
     for q in range(0, 700, 20):
