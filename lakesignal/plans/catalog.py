@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +12,7 @@ from lakesignal.functions import records as R
 from lakesignal.functions import slots as S
 from lakesignal.operators import checks, lake, matching, spikes
 from lakesignal.operators import statistics as T
+from lakesignal.session import shared_dir
 from lakesignal.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -370,7 +370,7 @@ def closed(spark: SparkSession, d: str, security: Column) -> DataFrame:
     body = articles.select(F.lit("article").alias("kind"), "slot", "feed", "id", "url", F.lit(True).alias("about"), security.alias("security"), F.col("event_type").alias("group"), F.lit(None).cast("int").alias("ids"))
     marks = monitor.announce(articles).select("kind", "slot", "feed", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("url"), F.lit(False).alias("about"), F.lit(False).alias("security"), F.lit(None).cast("string").alias("group"), "ids")
     seq = F.col("slot").cast("long") * 10 + F.when(F.col("kind") == "done", 1).otherwise(0)
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lakesignal-")) + f"/monitor-{uuid.uuid4().hex[:12]}"
+    base = f"{shared_dir(spark).rstrip('/')}/monitor-{uuid.uuid4().hex[:12]}"
     body.unionByName(marks).withColumn("seq", seq).withColumn("sent_at", F.lit(0.0)).write.mode("overwrite").json(f"{base}/in")
     slots = monitor.closed_slots(monitor.read_messages(spark, f"{base}/in"), ("en",), 1 << 20)
     stream = slots.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -25,3 +26,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in known:
         env["PYTHONPATH"] = os.pathsep.join([x for x in known if x] + [ROOT])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the
+    context's checkpoint folder.  Only a session on this machine alone gets one
+    of its own; elsewhere its absence is an error."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        named = "file://" + tempfile.mkdtemp(prefix="lakesignal-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named
