@@ -2,34 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROWS_PER_BATCH = 1000
+from lakesignal.session import shared_dir
+
+BATCH_BYTES = 2 << 20
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Arrow batches small enough for Python workers whatever a text's length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    """Arrow batches small enough for Python workers whatever a text's length;
+    a bound on memory only, on which no result depends."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of this machine only
-    if the session names none (as in local tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not named:
-        named = sc.getCheckpointDir()
-        if not named:
-            named = "file://" + tempfile.mkdtemp(prefix="lakesignal-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: its
     lineage is cut and it survives lost executors.  The folder
