@@ -1,22 +1,29 @@
 """Personal data by a semi-Markov conditional random field.
 
 Base spans are exact pattern matches (email, ip, card, phone).  The field then
-reads a window of tokens around every trigger (an at sign, an email spelled
-with ``at`` and ``dot`` in any case, a run of seven digits with at most two
-separators between them): candidate segments of up to
+reads a window of tokens around every trigger (an at sign, an ``at``
+in brackets, an email spelled with ``at`` and ``dot`` in any case, a run of seven digits with at most two
+separators between them; a window reaches ``MARGIN`` characters further, and on
+to the next white space within ``REACH``): candidate segments of up to
 ``MAX_TOKENS`` tokens are scored by features of the whole span (shape, digit
 count, check sum, octets, separators, neighbours), and dynamic programming over
-at most that many tokens for each entity chooses boundaries and types jointly.
+at most that many tokens for each entity chooses boundaries and types jointly,
+over the whole window whatever its length (it holds two numbers a token).  Of
+equal segmentations the one with fewer and earlier found segments is taken.
 Base spans stay; segments that overlap none of them are added.
 
 The field is trained by maximum likelihood on windows of a bounded sample of
-the documents: their base spans are the labels, and copies of the windows whose
+the documents (``SAMPLE`` documents, of each the first ``TRAIN_WINDOWS``, none
+of ``TRAIN_CHARS`` characters or more): their base spans are the labels, and
+copies of the windows whose
 email is respelled (``[at]``, `` dot ``), whose phone starts with 00 and whose
 card has its groups set apart by dots carry the same labels, so that it learns
 forms that the patterns miss.  Without any base span a small built-in set of
 such windows is used.
 
-Null text is empty.  Spans are code points, end exclusive.
+Null text is empty.  Spans are code points, end exclusive.  Repeated rows are
+read each; an empty table gives an empty result and a field of the built-in
+windows.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ from ._spark import tuned
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 24
-SAMPLE = 1500
+SAMPLE, TRAIN_WINDOWS, TRAIN_CHARS = 1500, 2, 400
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -93,42 +100,45 @@ def base_spans(text: str) -> list[Span]:
 
 _TRIGGER = re.compile(r"[0-9](?:[ .()/-]{0,2}[0-9]){6,}")
 _SPELLED = re.compile(r"(?i)\S{1,64} ?(?:\[at\]|\(at\)|\bat\b) ?\S{1,64} ?(?:\[dot\]|\(dot\)|\bdot\b)")
+_BRACKETED = re.compile(r"(?i)[\[(]at[\])]")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s|[^\sA-Za-z0-9]")
 _AT, _DOT = {"@", "at"}, {".", "dot"}
-MARGIN = 24
+MARGIN, REACH = 24, 64
 
 
-def windows(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Merged windows (start, end) around triggers; not around lone base spans,
-    which nothing can be added to."""
+def windows(text: str) -> list[tuple[int, int]]:
+    """Merged windows (start, end) around triggers."""
     marks = [m.span() for m in _TRIGGER.finditer(text)]
     at = text.find("@")
     while at >= 0:
         marks.append((at, at + 1))
         at = text.find("@", at + 1)
-    if "dot" in text.lower():
+    low = text.lower()
+    if "at]" in low or "at)" in low:
+        marks += [m.span() for m in _BRACKETED.finditer(text)]
+    if "dot" in low:
         marks += [m.span() for m in _SPELLED.finditer(text)]
     out: list[list[int]] = []
     for s, e in sorted(marks):
-        if out and s - MARGIN <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e + MARGIN)
+        s, e = _outward(text, s, e)
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
         else:
-            out.append([max(0, s - MARGIN), e + MARGIN])
-    return [(s, min(e, len(text))) for s, e in out]
+            out.append([s, e])
+    return [(s, e) for s, e in out]
 
 
-_SHAPE = re.compile(r"[0-9+][0-9 ().+/-]*[0-9]")
+def _outward(text: str, s: int, e: int) -> tuple[int, int]:
+    s, e = max(0, s - MARGIN), min(len(text), e + MARGIN)
+    least, most = max(0, s - REACH), min(len(text), e + REACH)
+    while s > least and not text[s - 1].isspace():
+        s -= 1
+    while e < most and not text[e].isspace():
+        e += 1
+    return s, e
 
 
-def _gate(kind: str, words: list[str], text: str) -> bool:
-    """Whether a segment can be of a kind at all."""
-    if kind == "email":
-        low = [w.lower() for w in words]
-        return len(words) >= 5 and words[0][0].isalnum() and words[-1].isalpha() and sum(w in _AT for w in low) == 1 and any(w in _DOT for w in low) and sum(w.isspace() for w in words) <= 4 and "\n" not in text
-    if not _SHAPE.fullmatch(text):
-        return False
-    n = len(_digits(text))
-    return n >= 4 and text.count(".") == 3 if kind == "ip" else 12 <= n <= 19 if kind == "card" else 7 <= n <= 15
+_PARTS = frozenset(" ().+/-")
 
 
 N_FEATURES = 26
@@ -175,25 +185,64 @@ def features(kind: str, text: str, before: str, after: str) -> list[int]:
     return f
 
 
+def tokens(text: str) -> list[int]:
+    """Token bounds of a window, with its end."""
+    return [m.start() for m in _TOKEN.finditer(text)] + [len(text)]
+
+
+def segments(text: str, bounds: list[int]):
+    """Candidate segments (first token, last token + 1, kind) by first token.
+
+    An email has one at, a dot, at most four blanks and no line feed, begins
+    with a letter or digit and ends with letters.  The others are digits, plus
+    signs, brackets, points, dashes, strokes and blanks, begin with a digit or
+    a plus and end with a digit: four numbers for an ip, 12 to 19 digits for a
+    card, 7 to 15 for a phone."""
+    n = len(bounds) - 1
+    words = [text[s:e] for s, e in zip(bounds, bounds[1:], strict=False)]
+    low = [w.lower() for w in words]
+    at = np.concatenate([[0], np.cumsum([w in _AT for w in low])]).tolist()
+    dot = np.concatenate([[0], np.cumsum([w in _DOT for w in low])]).tolist()
+    point = np.concatenate([[0], np.cumsum([w == "." for w in words])]).tolist()
+    blank = np.concatenate([[0], np.cumsum([w.isspace() for w in words])]).tolist()
+    line = np.concatenate([[0], np.cumsum([w == "\n" for w in words])]).tolist()
+    number = [w[0] in "0123456789" for w in words]
+    digit = np.concatenate([[0], np.cumsum([len(w) if d else 0 for w, d in zip(words, number, strict=True)])]).tolist()
+    for i in range(n):
+        top = min(n, i + MAX_TOKENS)
+        if words[i][0].isalnum() and at[top] > at[i]:
+            for j in range(i + 5, top + 1):
+                if at[j] - at[i] > 1 or blank[j] - blank[i] > 4 or line[j] > line[i]:
+                    break
+                if at[j] - at[i] == 1 and dot[j] > dot[i] and words[j - 1].isalpha():
+                    yield i, j, 0
+        if number[i] or words[i] == "+":
+            for j in range(i + 1, top + 1):
+                if not number[j - 1]:
+                    if words[j - 1] in _PARTS:
+                        continue
+                    break
+                d, p = digit[j] - digit[i], point[j] - point[i]
+                if p == 3 and d >= 4:
+                    yield i, j, 1
+                if 12 <= d <= 19:
+                    yield i, j, 2
+                if 7 <= d <= 15:
+                    yield i, j, 3
+                if d > 19 and p > 3:
+                    break
+
+
+def described(text: str, bounds: list[int], i: int, j: int, k: int) -> list[int]:
+    s, e = bounds[i], bounds[j]
+    return features(KINDS[k], text[s:e], text[max(0, s - 2) : s], text[e : e + 2])
+
+
 def lattice(text: str) -> tuple[list[int], list[tuple[int, int, int, list[int]]]]:
     """Token bounds of a window, and arcs (first token, last token + 1, kind,
     features)."""
-    bounds = [m.start() for m in _TOKEN.finditer(text)] + [len(text)]
-    words = [text[s:e] for s, e in zip(bounds, bounds[1:], strict=False)]
-    arcs = []
-    for i, w in enumerate(words):
-        if w.isspace():
-            continue
-        numeric = w in "+(" or w[0] in "0123456789"
-        for j in range(i + 1, min(len(words), i + MAX_TOKENS) + 1):
-            last = words[j - 1]
-            if last.isspace() or not (last.isalnum()):
-                continue
-            span = text[bounds[i] : bounds[j]]
-            for k, kind in enumerate(KINDS):
-                if (kind == "email" or numeric) and _gate(kind, words[i:j], span):
-                    arcs.append((i, j, k, features(kind, span, text[max(0, bounds[i] - 2) : bounds[i]], text[bounds[j] : bounds[j] + 2])))
-    return bounds, arcs
+    bounds = tokens(text)
+    return bounds, [(i, j, k, described(text, bounds, i, j, k)) for i, j, k in segments(text, bounds)]
 
 
 @dataclass
@@ -205,26 +254,28 @@ def _scores(model: Model, arcs) -> np.ndarray:
     return np.array([model.weights[k][f].sum() for _, _, k, f in arcs])
 
 
-def viterbi(n: int, arcs, score: np.ndarray) -> list[int]:
-    """Arcs of the best segmentation of n tokens; a token outside scores 0."""
-    ends: dict[int, list[int]] = {}
-    for a, (_, j, _, _) in enumerate(arcs):
-        ends.setdefault(j, []).append(a)
-    best, back = [0.0] * (n + 1), [-1] * (n + 1)
-    for t in range(1, n + 1):
-        best[t] = best[t - 1]
-        for a in ends.get(t, ()):
-            s = best[arcs[a][0]] + score[a]
-            if s > best[t]:
-                best[t], back[t] = s, a
-    out, t = [], n
+def viterbi(n: int, arcs) -> list[tuple[int, int, int]]:
+    """Segments (first token, last token + 1, kind) of the best segmentation of
+    n tokens, a token outside scoring 0; ``arcs`` are (first token, last
+    token + 1, kind, score) by first token, and may be a generator."""
+    best, back = [0.0] * (n + 1), [None] * (n + 1)
+    to, t = [float("-inf")] * (n + 1), 0
+    for i, j, k, score in arcs:
+        while t < i:  # nothing more can end at tokens up to i
+            t += 1
+            best[t], back[t] = (to[t], back[t]) if to[t] > best[t - 1] else (best[t - 1], None)
+        if best[i] + score > to[j]:
+            to[j], back[j] = best[i] + score, (i, j, k)
+    while t < n:
+        t += 1
+        best[t], back[t] = (to[t], back[t]) if to[t] > best[t - 1] else (best[t - 1], None)
+    out = []
     while t > 0:
-        a = back[t]
-        if a < 0:
+        if back[t] is None:
             t -= 1
         else:
-            out.append(a)
-            t = arcs[a][0]
+            out.append(back[t])
+            t = back[t][0]
     return out[::-1]
 
 
@@ -255,7 +306,7 @@ def _respelled(text: str, spans: list[Span]) -> list[tuple[str, list[Span]]]:
     for kind, s, e in spans:
         x = text[s:e]
         forms = {
-            "email": [re.sub(r"\.(?=[^.@]*$)", " dot ", x.replace("@", " at ")), re.sub(r"\.(?=[^.@]*$)", "[dot]", x.replace("@", "[at]")), x.replace("@", " (at) ")],
+            "email": [re.sub(r"\.(?=[^.@]*$)", " dot ", x.replace("@", " at ")), re.sub(r"\.(?=[^.@]*$)", "[dot]", x.replace("@", "[at]")), x.replace("@", " (at) "), x.replace("@", " [at] ")],
             "phone": ["00" + x[1:]],
             "card": [".".join(_digits(x)[i : i + 4] for i in range(0, len(_digits(x)), 4))],
         }.get(kind, [])
@@ -300,7 +351,7 @@ def fit_windows(samples: list[tuple[str, list[Span]]], steps: int = 30) -> Model
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
     """Train on the windows of about ``sample`` documents, chosen by a hash of
-    their id (fewer windows than two for each document are kept)."""
+    their id: of each the first ``TRAIN_WINDOWS``, if under ``TRAIN_CHARS``."""
     tuned(df.sparkSession)
     total = df.count()
     share = min(1.0, sample / max(1, total))
@@ -311,7 +362,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SA
             out = []
             for t in b.column(0).to_pylist():
                 base = base_spans(t or "")
-                for s, e in windows(t or "", base)[:2]:
+                for s, e in [x for x in windows(t or "") if x[1] - x[0] < TRAIN_CHARS][:TRAIN_WINDOWS]:
                     own = [(k, x - s, y - s) for k, x, y in base if s <= x and y <= e]
                     out.append((t[s:e], [k for k, _, _ in own], [x for _, x, _ in own], [y for _, _, y in own]))
             if out:
@@ -319,33 +370,27 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SA
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(k, pa.list_(pa.string())), pa.array(x, pa.list_(pa.int32())), pa.array(y, pa.list_(pa.int32()))], names=["w", "k", "s", "e"])
 
     got = rows.mapInArrow(run, "w string, k array<string>, s array<int>, e array<int>").collect()
-    return fit_windows(sorted((r["w"], list(zip(r["k"], r["s"], r["e"], strict=True))) for r in got if len(r["w"]) < 400))
+    return fit_windows(sorted((r["w"], list(zip(r["k"], r["s"], r["e"], strict=True))) for r in got))
 
 
 def find(text: str | None, model: Model) -> tuple[list[Span], list[Span]]:
     """Base spans, and base and added spans."""
     text = text or ""
     base = base_spans(text)
-    added: list[Span] = []
-    for s, e in windows(text, base):
-        inside = sum(y - x for _, x, y in base if s <= x and y <= e)
-        if inside and e - s <= inside + 2 * MARGIN + 1:
-            continue  # the base spans are all that triggered the window
-        for a in range(s, e, 2000):  # a long window is read in overlapping parts
-            part = text[a : min(e, a + 2200)]
-            bounds, arcs = lattice(part)
-            if not arcs:
-                continue
-            score = _scores(model, arcs)
-            own = {(x - a, y - a, k) for k, x, y in base}
-            for i, (f, t, k, _) in enumerate(arcs):
-                if (bounds[f], bounds[t], KINDS[k]) in own:
-                    score[i] += 1e6
-            for i in viterbi(len(bounds) - 1, arcs, score):
-                f, t, k, _ = arcs[i]
-                x = (KINDS[k], a + bounds[f], a + bounds[t])
-                if all(x[2] <= o[1] or x[1] >= o[2] for o in (*base, *added)):
-                    added.append(x)
+    known, added = set(base), []
+    for a, e in windows(text):
+        part = text[a:e]
+        bounds = tokens(part)
+
+        def scored(part=part, bounds=bounds, a=a):
+            for i, j, k in segments(part, bounds):
+                certain = 1e6 if (KINDS[k], a + bounds[i], a + bounds[j]) in known else 0.0
+                yield i, j, k, float(model.weights[k][described(part, bounds, i, j, k)].sum()) + certain
+
+        for i, j, k in viterbi(len(bounds) - 1, scored()):
+            s, t = a + bounds[i], a + bounds[j]
+            if not any(x < t and s < y for _, x, y in base):
+                added.append((KINDS[k], s, t))
     return base, sorted([*base, *added], key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -243,11 +243,69 @@ def test_pii(docs, rows, empty):
 
 def test_pii_of_spellings_in_any_case(spark, docs):
     texts = ["write to joe.b [at] mail [dot] org today", "write to joe.b [At] mail [Dot] org today", "write to joe.b (AT) mail (DoT) org today"]
-    assert all(pii.windows(x, []) for x in texts)
+    assert all(pii.windows(x) for x in texts)
     got = pii.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), pii.fit(docs)).collect()
     assert all("email" in r.spans for r in got) and len(got) == 3
 
 
+def every_segmentation(n, arcs, at=0):
+    """All sets of disjoint arcs over tokens at..n, as lists of arc numbers."""
+    if at >= n:
+        yield []
+        return
+    yield from every_segmentation(n, arcs, at + 1)
+    for a, (i, j, _, _) in enumerate(arcs):
+        if i == at:
+            for rest in every_segmentation(n, arcs, j):
+                yield [a, *rest]
+
+
+def test_pii_field_against_enumeration():
+    rng = np.random.default_rng(4)
+    for text in ("a@b.co +1 (21) 555 01", "x 12 34 567.89 at 1.2.3.4", "me at ab dot cd 1234567"):
+        bounds, arcs = pii.lattice(text)
+        n = len(bounds) - 1
+        assert [(i, j, k) for i, j, k, _ in arcs] == list(pii.segments(text, bounds)) and len(arcs) > 2
+        for _ in range(5):
+            score = rng.normal(0, 2, len(arcs))
+            all_ = list(every_segmentation(n, arcs))
+            total = np.array([score[x].sum() if x else 0.0 for x in all_])
+            best = all_[int(total.argmax())]
+            got = pii.viterbi(n, ((i, j, k, s) for (i, j, k, _), s in zip(arcs, score)))
+            assert got == [arcs[a][:3] for a in best]
+            p = np.exp(total - total.max())
+            share = np.array([sum(w for w, x in zip(p, all_) if a in x) for a in range(len(arcs))]) / p.sum()
+            assert np.allclose(pii._posterior(n, arcs, score), share)
+
+
+def test_pii_long_windows_are_read_whole(docs):
+    model = pii.fit(docs)
+    for pad in (10, 1997, 2185, 2190, 9000):
+        text = ("x@ " * 4000)[:pad] + " 0044 20 7946 0958"
+        assert pii.find(text, model)[1] == [("phone", pad + 1, pad + 18)]
+    assert pii.find("1 2.3-4 " * 2000, model)[0] == []
+
+
+def test_pii_added_spans_on_documents_held_out(spark):
+    """Respelled emails and phones are found, and texts without any stay clean."""
+    got = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").collect()]
+    model = pii.fit(spark.createDataFrame(list(enumerate(got[:7000])), "doc_id long, text string"))
+    found = wanted = extra = clean = 0
+    for text in got[7000:]:
+        base, every = pii.find(text, model)
+        if not base:
+            clean += 1
+            extra += bool(every)
+        for kind, s, e in base:
+            x = text[s:e]
+            for y in {"email": [x.replace("@", " at ")[::-1].replace(".", " tod ", 1)[::-1], x.replace("@", " [AT] ")], "phone": ["00" + x[1:]]}.get(kind, []):
+                new = text[:s] + y + text[e:]
+                wanted += 1
+                found += any(k == kind and a <= s and b >= s + len(y) for k, a, b in pii.find(new, model)[1])
+    print(f"respelled {found} of {wanted}, clean texts with an added span {extra} of {clean}")
+    assert wanted > 20 and found >= 0.85 * wanted and extra <= 0.01 * clean
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(3000)]
