@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrays as A
-from ._graph import components, forest
+from ._graph import components, forest, looked_up
 from ._spark import materialize, partitions, tuned
 
 SHINGLE, LIMIT, SEED = 3, 3, 42
@@ -166,11 +166,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     component is named by its smallest key.  Null text counts as empty, and
     empty texts are copies of each other.  A component of null keys only has a
     null name."""
-    spark = tuned(df.sparkSession)
+    tuned(df.sparkSession)
     marked = materialize(with_simhash(df.select(F.col(key).alias("key"), F.col(text).alias("text"))), "simhash")
-    nodes = marked.groupBy("simhash").agg(F.min("key").alias("least"))
+    total = marked.count()
+    nodes = materialize(marked.groupBy("simhash").agg(F.min("key").alias("least"), F.count("*").alias("n")), "nodes")
     joined = components(links(nodes))
-    named = nodes.join(joined, F.col("simhash") == F.col("node"), "left").withColumn("root", F.coalesce("root", "simhash"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.select("simhash", "root").join(least, "root").select(F.col("simhash").alias("mark"), "component_id")
-    return marked.join(of, F.col("simhash") == F.col("mark")).select(F.col("key").alias(key), F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+    named = nodes.join(joined, F.col("simhash") == F.col("node"), "left").withColumn("root", F.coalesce("root", "simhash")).drop("node")
+    least = named.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    of = looked_up(named.select(F.col("simhash").alias("mark"), "root", F.col("n").alias("copies")), "root", least, "of", nodes.count())
+    got = looked_up(marked, "simhash", of.select("mark", "component_id", F.col("copies").alias("n")), "mark", total)
+    return got.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
