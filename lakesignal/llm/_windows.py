@@ -18,9 +18,15 @@ a super-k-mer.
    window occurs twice in one string, since a string has one minimiser.
 
 Documents are shuffled once, by (id, text hash), for steps 2 and 4 alike.
-No group of copies meets in a task: a bucket holds a string once for each task.
 Hashes only bring candidates together; equality is decided on the units.
 Entries of step 1 travel as columns packed for each pair of tasks.
+
+Hot keys: a task sends a string once, so copies do not meet in a bucket.  A
+passage shared by very many texts has boundary strings that differ and share a
+minimiser; so minimisers are counted first, and those above a share of all
+entries (a list that this share bounds) have their strings cut into windows,
+each dealt by a hash of the whole of it.  A row that repeats above that share
+(one id and text) is dealt over several tasks, which its answers also go to.
 """
 
 from __future__ import annotations
@@ -40,6 +46,8 @@ from ._spark import partitions, tuned
 HELD_ROWS, HELD_BYTES = 500_000, 32 << 20
 #: Bytes of packed strings that are sorted at a time (whole buckets).
 SORT_BYTES = 4 << 20
+#: Hot is what has over 1 / (SHARES x partitions) of all entries or rows.
+SHARES = 4
 LAST = (1 << 63) - 1
 
 
@@ -95,10 +103,11 @@ def blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def width(df: DataFrame) -> int:
-    """Partitions for the packed exchanges: those of shuffles, more if the
-    input files' size asks for it (a plan without files says nothing)."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(partitions(df.sparkSession), size >> 25 if df.inputFiles() and size < 1 << 55 else 1)
+    """Partitions for the packed exchanges: those of shuffles, more if the size
+    of the plan's inputs asks for it (inputs of unknown size say nothing)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(partitions(df.sparkSession), sum(x for x in sizes if x < 1 << 55) >> 25)
 
 
 def super_kmers(s: Scheme, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,6 +131,66 @@ def super_kmers(s: Scheme, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarra
     return g[low[begin]].view(np.int64), doc[begin], at[begin], np.diff(np.append(begin, total))
 
 
+def hot_minimisers(docs: DataFrame, scheme: Scheme, n: int) -> np.ndarray:
+    """Sorted minimisers with over 2 / (SHARES x n) of all distinct strings of
+    the tasks, and possibly some with over half of that: never more than
+    SHARES x n.  A task reports those above the share among its own; so what
+    it keeps to itself is less than the share of all."""
+    share = 1 / (SHARES * n)
+
+    def count(batches):
+        held, rows, total = [], 0, 0
+        kept = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def fold():
+            # a string is told by its minimiser, windows and outer grams; a load's measure needs no more
+            mz, many, left, right = (np.concatenate(c) for c in zip(*held, strict=True))
+            x = A.mix(mz.view(np.uint64) + A.mix(left + A.mix(right + many.astype(np.uint64))))
+            _, at = np.unique(x, return_index=True)
+            m, c = np.unique(mz[at], return_counts=True)
+            return np.concatenate([kept[0], m]), np.concatenate([kept[1], c]), len(at)
+
+        def merged(m, c, least):
+            u, of = np.unique(m, return_inverse=True)
+            c = np.bincount(of, c, len(u)).astype(np.int64)
+            return u[c > least], c[c > least]
+
+        for b in A.slices(batches, "text"):
+            data, off = A.buffers(b.column(0))
+            mz, doc, at, many = super_kmers(scheme, data, off)
+            if len(mz):
+                g, first = scheme.grams(data, off)
+                s = first[:-1][doc] + at
+                held.append((mz, many, g[s], g[s + many - 1 + scheme.size - scheme.gram]))
+                rows += len(mz)
+            if rows > HELD_ROWS:
+                m, c, own = fold()
+                total += own
+                held, rows = [], 0
+                kept = merged(m, c, share * own)  # a flush is a task's part: the same bound holds
+        if held:
+            m, c, own = fold()
+            total += own
+            kept = merged(m, c, share * own)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(kept[0], 0)), pa.array(np.append(kept[1], total)), pa.array(np.append(np.zeros(len(kept[0]), bool), True))], names=["mz", "c", "every"])
+
+    got = docs.select("text").mapInArrow(count, "mz long, c long, every boolean").groupBy("every", "mz").agg(F.sum("c").alias("c")).persist()
+    try:
+        total = (got.where("every").agg(F.sum("c")).first()[0] or 0) * share
+        return np.sort(np.array([r.mz for r in got.where(~F.col("every") & (F.col("c") > max(1.0, total))).collect()], np.int64))
+    finally:
+        got.unpersist()
+
+
+def hot_rows(docs: DataFrame, n: int) -> DataFrame | None:
+    """Rows (k, h, places) of the documents that repeat above the share, at
+    most SHARES x n; None without any."""
+    most = max(1, docs.count() // (SHARES * n))
+    found = docs.groupBy("k", "h").agg(F.count("*").alias("copies")).where(F.col("copies") > most).collect()
+    return docs.sparkSession.createDataFrame([(r.k, r.h, -(-r.copies // most)) for r in found], "k long, h long, places long") if found else None
+
+
 def _aside(mz: np.ndarray, salt: np.ndarray) -> np.ndarray:
     """A key that spreads rows which only pass through."""
     return A.mix(mz.astype(np.int64).view(np.uint64) + A.mix(salt.astype(np.int64).view(np.uint64))).view(np.int64)
@@ -138,7 +207,7 @@ def repeated_windows(df: DataFrame, scheme: Scheme, key: str = "doc_id", text: s
     def cut(batches):
         """Packed entries (p, b) for the partition that each minimiser goes to."""
         held, rows = [], 0
-        for b in A.slices(batches, "text", 1 << 20):
+        for b in A.slices(batches, "text"):
             mz, doc, at, _ = super_kmers(scheme, *A.buffers(b.column(2)))
             if len(mz):
                 k, h = (b.column(i).to_numpy(zero_copy_only=False)[doc] for i in (0, 1))
@@ -152,8 +221,13 @@ def repeated_windows(df: DataFrame, scheme: Scheme, key: str = "doc_id", text: s
 
     def flush(held):
         mz, k, h, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, first, of, count = np.unique(mz, return_index=True, return_inverse=True, return_counts=True)
+        _, of, count = np.unique(mz, return_inverse=True, return_counts=True)
         local = (count[of] > 1).astype(np.int64)
+        _, once = np.unique(A.mix(k.view(np.uint64) + A.mix(h.view(np.uint64) + A.mix(at.view(np.uint64)))), return_index=True)
+        if len(once) < len(mz):  # rows that repeat are entered once, marked as seen repeatedly
+            once.sort()
+            mz, k, h, at, local = (x[once] for x in (mz, k, h, at, local))
+        _, first, of = np.unique(mz, return_index=True, return_inverse=True)
         probe = first[of] == np.arange(len(mz))
         target = (A.mix(np.where(probe, mz, _aside(mz, k + at)).view(np.uint64)) % np.uint64(n)).astype(np.int64)
         out = []
@@ -209,19 +283,31 @@ def repeated_windows(df: DataFrame, scheme: Scheme, key: str = "doc_id", text: s
 
     met = docs.select("k", "h", "text").mapInArrow(cut, "p int, b binary").repartitionById(n, "p").mapInArrow(meet, "p int, b binary")
     lists = met.repartitionById(n, "p").mapInArrow(gather, "k long, h long, parts binary")
-    placed = docs.repartition(n, "k", "h")
+    hot = hot_minimisers(docs, scheme, n)
+    many_rows = hot_rows(docs, n)
+    if many_rows is None:
+        place = ["k", "h"]
+        over = lambda rows: rows
+    else:  # such a row has a place in each of its parts, and what is found for it goes to all
+        place = ["k", "h", "part"]
+        every = F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)).cast("int") - F.lit(1)))
+        docs = docs.withColumn("_at", F.monotonically_increasing_id()).join(F.broadcast(many_rows), ["k", "h"], "left").withColumn("part", F.pmod("_at", F.coalesce("places", F.lit(1))).cast("int")).drop("_at", "places")
+        over = lambda rows: rows.join(F.broadcast(many_rows), ["k", "h"], "left").withColumn("part", every).drop("places")
+    placed = docs.repartition(n, *place)
 
     def collect(batches):
         """Rows (to, k, h, at, many, weight, s); s is null where decided."""
         strings: dict[bytes, int] = {}
         held, size = [], 0
-        for b in A.slices(batches, "text", 1 << 20):
+        for b in A.slices(batches, "text"):
             col = {c: b.column(i) for i, c in enumerate(b.schema.names)}
             mz, doc, at, many = super_kmers(scheme, *A.buffers(col["text"]))
             parts = [unpacked(x)[0] for x in col["parts"].to_pylist()]
             want = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
             keep = np.isin(doc * (1 << 40) + at, want * (1 << 40) + np.concatenate(parts))
             mz, doc, at, many = mz[keep], doc[keep], at[keep], many[keep]
+            if len(hot):
+                mz, doc, at, many = _windows_of(hot, mz, doc, at, many, col["text"])
             sid, own, units = [], -1, None
             texts = col["text"]
             for d, s, e in zip(doc.tolist(), at.tolist(), (at + many + scheme.size - 1).tolist(), strict=True):
@@ -270,7 +356,25 @@ def repeated_windows(df: DataFrame, scheme: Scheme, key: str = "doc_id", text: s
     def answers(to, k, h, at, many, weight, s):
         return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (to, k, h, at, many, weight)), s], names=["to", "k", "h", "at", "many", "weight", "s"])
 
-    sent = placed.join(lists, ["k", "h"]).mapInArrow(collect, "to long, k long, h long, at long, many long, weight long, s binary")
+    def _windows_of(hot, mz, doc, at, many, texts):
+        """The strings, those of hot minimisers cut into windows that are dealt
+        by their own hash."""
+        is_hot = np.isin(mz, hot)
+        if not is_hot.any():
+            return mz, doc, at, many
+        n = np.where(is_hot, many, 1)
+        of = np.repeat(np.arange(len(mz)), n)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        cut_up = is_hot[of]
+        g, first = scheme.grams(*A.buffers(texts))
+        start = first[:-1][doc[of]] + at[of] + step
+        # a window is told by its grams at 0, gram, 2 gram, ... and at its end
+        x = A.mix(mz[of].view(np.uint64))
+        for shift in [*range(0, scheme.size - scheme.gram, scheme.gram), scheme.size - scheme.gram]:
+            x = A.mix(x + g[start + shift])
+        return np.where(cut_up, x.view(np.int64), mz[of]), doc[of], at[of] + step, np.where(cut_up, 1, many[of])
+
+    sent = placed.join(over(lists), place).mapInArrow(collect, "to long, k long, h long, at long, many long, weight long, s binary")
 
     def decide(batches):
         held, size, was = [], 0, None
@@ -335,7 +439,7 @@ def repeated_windows(df: DataFrame, scheme: Scheme, key: str = "doc_id", text: s
 
     spans = sent.repartition(n, "to").sortWithinPartitions("to").mapInArrow(decide, "k long, h long, start long, n long")
     per_doc = spans.groupBy("k", "h").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    return placed.join(per_doc, ["k", "h"], "left")
+    return placed.join(over(per_doc), place, "left")
 
 
 def _documents(k: np.ndarray, h: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], int, np.ndarray]:

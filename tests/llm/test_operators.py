@@ -87,18 +87,8 @@ def jaccard(a, b):
 
 
 def test_superkmer(docs, rows, empty):
-    size, count, texts = 35, Counter(), [(r[1] or "").encode().split() for r in rows]
-    for w in texts:
-        count.update(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
-    want = []
-    for r, w in zip(rows, texts):
-        gone = set()
-        for i in range(len(w) - size + 1):
-            if count[tuple(w[i : i + size])] > 1:
-                gone.update(range(i, i + size))
-        want.append(tuple(map(repr, (r[0], len(w), len(gone), sha(b" ".join(x for i, x in enumerate(w) if i not in gone))))))
     got = superkmer.digests(docs).collect()
-    assert by_id(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want)
+    assert by_id(got, "doc_id", "n_words", "n_removed", "kept_sha256") == plain_words(rows)
     assert superkmer.digests(empty).count() == 0
     cut = superkmer.remove_repeats(docs)
     assert cut.columns == docs.columns and cut.count() == len(rows)
@@ -127,6 +117,50 @@ def test_suffix(docs, rows, empty):
     assert suffix.digests(empty).count() == 0
 
 
+def plain_words(rows, size=35):
+    count, texts, want = Counter(), [(r[1] or "").encode().split() for r in rows], []
+    for w in texts:
+        count.update(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
+    for r, w in zip(rows, texts):
+        gone = set()
+        for i in range(len(w) - size + 1):
+            if count[tuple(w[i : i + size])] > 1:
+                gone.update(range(i, i + size))
+        want.append(tuple(map(repr, (r[0], len(w), len(gone), sha(b" ".join(x for i, x in enumerate(w) if i not in gone))))))
+    return sorted(want)
+
+
+@pytest.fixture(scope="session")
+def crowded():
+    """One passage in most texts, its ends beside each text's own words; one row
+    a third of all; many texts without an id."""
+    rng = random.Random(8)
+    own = lambda n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n))
+    passage = own(60)
+    rows = [(i, f"{own(rng.randint(0, 40))} {passage} {own(rng.randint(0, 40))}") for i in range(900)]
+    rows += [(5000, "the same row " + own(50) + " " + passage[:150])] * 600
+    rows += [(None, own(rng.randint(0, 60))) for _ in range(150)] + [(None, rows[3][1])] * 150
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("tiny", [False, True])
+def test_windows_of_hot_passages_and_rows(spark, crowded, monkeypatch, tiny):
+    from lakesignal.llm import _windows
+
+    if tiny:
+        monkeypatch.setattr(_windows, "HELD_ROWS", 200)
+        monkeypatch.setattr(_windows, "HELD_BYTES", 20_000)
+        monkeypatch.setattr(_windows, "SORT_BYTES", 2_000)
+    docs = spark.createDataFrame(crowded, "doc_id long, text string").repartition(6).cache()
+    body = docs.selectExpr("coalesce(doc_id, 9223372036854775807) AS k", "xxhash64(text) AS h", "text")
+    assert len(_windows.hot_minimisers(body, superkmer.scheme(), 8)) and _windows.hot_rows(body, 8) is not None
+    got = superkmer.digests(docs).collect()
+    assert by_id(got, "doc_id", "n_words", "n_removed", "kept_sha256") == plain_words(crowded)
+    got = suffix.digests(docs).collect()
+    assert by_id(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain_suffix(crowded, 100)
+
+
 def test_deep_shallow():
     rng = random.Random(1)
     data = bytes(rng.choice(b"ab") for _ in range(3000)) + b"abc" * 200 + bytes(rng.choice(b"ab") for _ in range(400)) * 2
@@ -207,6 +241,21 @@ def test_simhash_links(spark):
     assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(k for k in got if got[k] == m) for m in set(got.values())}
 
 
+def test_components_of_hubs(spark):
+    from lakesignal.llm._graph import components
+
+    star = [(0, i) for i in range(1, 3000)] + [(4999, i) for i in range(3000, 4999)] + [(2999, 3000)]
+    got = components(spark.createDataFrame(star, "src long, dst long").repartition(5)).collect()
+    assert {(r.node, r.root) for r in got} == {(i, 0) for i in range(5000)}
+
+
+def test_simhash_of_many_copies(spark):
+    rows = [(i, "one text for all of them" if i % 3 else f"text number {i} with its own words {i * 7}") for i in range(3000)]
+    got = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    assert len(got) == 3000 and {got[i].component_id for i in got if i % 3} == {got[1].component_id}
+    assert all(r.fingerprint == f"{plain_simhash(t):016x}" for (i, t) in rows[:50] for r in [got[i]])
+
+
 def test_components_are_never_unfinished(spark):
     from lakesignal.llm._graph import components
 
