@@ -9,15 +9,17 @@ of equal bins, corrected for chance agreement 2**-bits, estimates the Jaccard
 likeness of two texts' shingle sets.
 
 Null text counts as empty, repeated rows are fingerprinted alike, texts of any
-length are read whole.
+length are read whole.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,38 +89,70 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
     return df.drop(out).mapInArrow(run, schema)
 
 
+@dataclass
+class Ranges:
+    """Ascending ranges of keys, null first, each cut into ``parts`` by the
+    tie; numbered so that bucket 0 comes first in descending order."""
+
+    limits: np.ndarray  # greatest key of each range but the last
+    parts: np.ndarray  # of the null range, then of each range
+
+    @property
+    def size(self) -> int:
+        return int(self.parts.sum())
+
+    def number(self, key: np.ndarray, null: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        at = np.where(null, 0, np.searchsorted(self.limits, key, side="left") + 1)
+        place = tie.view(np.uint64) ^ np.uint64(1 << 63)  # ascending, unsigned
+        sub = ((place >> np.uint64(32)) * self.parts[at].astype(np.uint64)) >> np.uint64(32)
+        first = np.cumsum(self.parts) - self.parts
+        return self.size - 1 - (first[at] + sub.astype(np.int64))
+
+
+def ranges(keys: DataFrame, n: int) -> Ranges:
+    """About ``n`` ranges of one size by quantiles of the column ``key``; a key
+    with more rows than that, null too, has its range cut by the tie.  The
+    driver holds the limits and at most n such keys."""
+    total = keys.count()
+    limits = set(map(int, keys.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else set()
+    hot = {r.key: r.n for r in keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(1, total // n)).collect()}
+    least = -(1 << 63)
+    for k in hot:
+        if k is not None:
+            limits |= {k, max(k - 1, least)}
+    limits = np.array(sorted(limits), np.int64)
+    parts = np.ones(len(limits) + 2, np.int64)
+    for k, c in hot.items():
+        parts[0 if k is None else int(np.searchsorted(limits, k)) + 1] = -(-c // max(1, total // n))
+    return Ranges(limits, parts)
+
+
 def in_neighbour_order(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (bucket, key, text, edge) so that within each partition, sorted by
     descending key, a row's next row follows it; each bucket ends with a copy
     (edge) of the row that starts the next one, the last with the very first.
 
-    The bucket limits are quantiles of the key, one bucket for each shuffle
-    partition; the driver holds those limits and one key for each bucket.
     Rows with equal keys follow each other by a hash of the text; null keys
-    come last.
+    come last.  The driver holds the ranges and one key for each bucket.
     """
     spark = df.sparkSession
-    n = partitions(spark)
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
-    limits = sorted(set(rows.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    ids = F.array(*[F.lit(int(x)) for x in limits]) if limits else F.array().cast("array<bigint>")
-    last = F.lit(len(limits))
-    bucket = F.when(F.col("key").isNull(), last).otherwise(last - F.size(F.filter(ids, lambda x: x < F.col("key"))))
-    rows = rows.withColumn("bucket", bucket.cast("int"))
-    heads = sorted((r.bucket, r.head) for r in rows.groupBy("bucket").agg(F.max(F.struct("key", "tie")).alias("head")).collect())
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    r = ranges(rows.select("key"), partitions(spark))
+
+    @F.pandas_udf("int")
+    def bucket_of(k: pd.Series, null: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(r.number(k.to_numpy(np.int64), null.to_numpy(bool), tie.to_numpy(np.int64)), dtype="int32")
+
+    tie = F.xxhash64("text") if r.parts.max() > 1 else F.lit(0).cast("long")  # else the text is not read for it
+    rows = rows.withColumn("bucket", bucket_of(F.coalesce("key", F.lit(0)), F.col("key").isNull(), tie))
+    heads = sorted((x.bucket, x.head) for x in rows.groupBy("bucket").agg(F.max("key").alias("head")).collect())
     if not heads:
-        return rows.withColumn("edge", F.lit(False))
-    follow = [(heads[i - 1][0], *heads[i][1]) for i in range(len(heads))]  # bucket -> the head of the next
-    schema = "to int, key long, tie long"
-    e = spark.createDataFrame(follow, schema).toDF("to", "ekey", "etie")
-    edges = (
-        rows.join(F.broadcast(e), F.col("key").eqNullSafe(F.col("ekey")) & (F.col("tie") == F.col("etie")))
-        .groupBy("to")
-        .agg(F.first("key").alias("key"), F.first("text").alias("text"), F.first("tie").alias("tie"))
-        .select("key", "text", "tie", F.col("to").alias("bucket"), F.lit(True).alias("edge"))
-    )
-    both = rows.withColumn("edge", F.lit(False)).select("key", "text", "tie", "bucket", "edge").unionByName(edges)
-    return both.repartitionById(len(limits) + 1, "bucket").sortWithinPartitions("bucket", "edge", F.desc_nulls_last("key"), F.desc("tie"))
+        return rows.select("bucket", "key", "text", F.lit(False).alias("edge"))
+    follow = spark.createDataFrame([(heads[i - 1][0], *heads[i]) for i in range(len(heads))], "to int, eb int, ekey long")
+    first = rows.join(F.broadcast(follow), (F.col("bucket") == F.col("eb")) & F.col("key").eqNullSafe(F.col("ekey")))
+    edges = first.groupBy("to").agg(F.max_by(F.struct("key", "text"), F.xxhash64("text")).alias("x")).select(F.col("to").alias("bucket"), "x.*", F.lit(True).alias("edge"))
+    both = rows.select("bucket", "key", "text", F.lit(False).alias("edge")).unionByName(edges)
+    return both.repartitionById(r.size, "bucket").sortWithinPartitions("bucket", "edge", F.desc_nulls_last("key"), F.xxhash64("text").desc())
 
 
 PAIR_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -53,7 +53,8 @@ def by_id(got, *columns):
 
 def test_minhash(spark, docs, rows, empty):
     got = minhash.edited_pairs(docs).collect()
-    order = sorted(rows, key=lambda r: -r[0] if r[0] is not None else 1)
+    tie = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -tie[r[1]]))
     want, likes = [], {}
     for i, r in enumerate(order):
         own, after = r[1] or "", order[(i + 1) % len(order)][1] or ""
@@ -61,10 +62,7 @@ def test_minhash(spark, docs, rows, empty):
         new = own[: len(own) - cut] + after[:cut]
         want.append((r[0], len(own), sha(new)))
         likes[sha(new), r[0]] = (own, new, after)
-    ok = lambda xs: sorted(repr(x) for x in xs if x[0] is not None)  # noqa: E731  rows without an id tie
-    tail = {i for i, r in enumerate(order) if order[(i + 1) % len(order)][0] is None}
-    known = {repr(w) for i, w in enumerate(want) if i not in tail}
-    assert ok(w for i, w in enumerate(want) if i not in tail) == sorted(x for x in ok((r.doc_id, r.n_chars, r.edited_sha256) for r in got) if x in known)
+    assert by_id(got, "doc_id", "n_chars", "edited_sha256") == sorted(tuple(map(repr, w)) for w in want)
     assert len(got) == len(rows)
     marks = {}
     for r in got:
@@ -77,6 +75,23 @@ def test_minhash(spark, docs, rows, empty):
     assert minhash.fingerprint(docs.withColumn("fingerprint", F.lit(1))).columns[-1] == "fingerprint"
 
 
+def test_minhash_order_of_hot_ids(spark):
+    """A third of the rows without an id, a third with one; each row's next one follows it."""
+    rows = [(None if i % 3 == 0 else 77 if i % 3 == 1 else i, f"text {i} " + "x " * (i % 7)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    tie = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -tie[r[1]]))
+    want = []
+    for i, (d, own) in enumerate(order):
+        cut = len(own) // 3
+        want.append(tuple(map(repr, (d, sha(own[: len(own) - cut] + order[(i + 1) % len(order)][1][:cut])))))
+    assert by_id(minhash.edited_pairs(df).collect(), "doc_id", "edited_sha256") == sorted(want)
+    r = minhash.ranges(df.selectExpr("doc_id AS key"), 8)
+    ids = np.array([d or 0 for d, _ in rows], np.int64)
+    got = r.number(ids, np.array([d is None for d, _ in rows]), np.array([tie[t] for _, t in rows], np.int64))
+    assert np.bincount(got, minlength=r.size).max() < 0.25 * len(rows)
+
+
 def jaccard(a, b):
     def s(x):
         w = x.encode().split()
