@@ -4,14 +4,18 @@ A text is its UTF-8 bytes; matches never cross texts.  Every byte covered by a
 ``WINDOW``-byte string that also starts earlier (smaller id, or same text and
 earlier start) is removed; overlaps count, strings are judged on the input.
 
-Candidate stretches meet in buckets (see ``_windows``).  A bucket's suffixes are
-sorted deep-shallow: multikey quicksort whose characters are 8 bytes wide, down
-to ``SHALLOW`` bytes; then a blind trie orders each group whose common prefix is
-longer, comparing a suffix with one leaf only.  Sorting stops at ``WINDOW``
-bytes: suffixes that agree so far are one class, whose earliest member stays.
+Candidate stretches meet in buckets (see ``_windows``, where equal stretches
+are found to be one by their bytes; buckets with several go on).  A bucket's
+suffixes are sorted deep-shallow: multikey quicksort whose characters are 8
+bytes wide, three-way partitions of all groups at once, down to ``SHALLOW``
+bytes; then a blind trie orders each group whose common prefix is longer,
+comparing a suffix with one leaf only.  Sorting stops at ``WINDOW`` bytes:
+suffixes that agree so far stand together as one class, whose earliest member
+stays.
 
 Null text is empty.  A null id comes last.  Repeated rows of one id and text
-are one text (no copies of each other).
+are one text (no copies of each other).  Texts under ``WINDOW`` bytes lose
+nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -99,47 +103,62 @@ class BlindTrie:
         return out
 
 
+def multikey(data: bytes, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at the given positions by their first ``depth``
+    bytes (a multiple of 8), and whether each ordered one starts a group.
+
+    Three-way partitioning by a pivot, the median of three, of every group at a
+    time: the lesser and the greater keep their depth, the equal go 8 bytes on."""
+    wide = np.ndarray(max(0, len(data) - 7), ">u8", data, strides=(1,)) if len(data) > 7 else np.zeros(0, ">u8")
+    order, first = np.arange(len(at)), np.zeros(len(at), bool)
+    first[:1] = True
+    start, size, deep = np.zeros(1, np.int64), np.array([len(at)]), np.zeros(1, np.int64)
+    while True:
+        live = (size > 1) & (deep < depth)
+        start, size, deep = start[live], size[live], deep[live]
+        if not len(start):
+            return order, first
+        g = np.repeat(np.arange(len(start)), size)
+        head = np.cumsum(size) - size
+        place = start[g] + np.arange(len(g)) - head[g]
+        own = order[place]
+        key = wide[at[own] + deep[g]].astype(np.uint64)
+        a, b, c = key[head], key[head + size // 2], key[head + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[g]
+        to, begin = np.empty(len(g), np.int64), start.copy()
+        parts = []
+        for part, more in ((key < pivot, 0), (key == pivot, 8), (key > pivot, 0)):
+            upto = np.cumsum(part)
+            before = upto[head] - part[head]
+            n = np.add.reduceat(part, head, dtype=np.int64)
+            to[part] = (begin[g] + upto - 1 - before[g])[part]
+            parts.append((begin.copy(), n, deep + more))
+            begin += n
+        order[to] = own
+        start, size, deep = (np.concatenate(x) for x in zip(*parts, strict=True))
+        first[start[size > 0]] = True
+
+
 def deep_shallow(data: bytes, at: np.ndarray, size: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at the given positions by their first ``size``
-    bytes, and a class number (in that order) of each ordered suffix; equal
-    classes mean equal bytes."""
+    bytes, and whether each ordered suffix starts a class: classes are what
+    agrees over these bytes."""
     depth = min(shallow, size) // 8 * 8
-    wide = np.ndarray(max(0, len(data) - 7), ">u8", data, strides=(1,)) if len(data) > 7 else np.zeros(0, ">u8")
-    order = np.arange(len(at))
-    group = np.zeros(len(at), np.int64)  # number of each ordered suffix's group
-    live = np.arange(len(at))  # ordered places whose group has others
-    for d in range(0, depth, 8):
-        if not len(live):
-            break
-        key = wide[at[order[live]] + d].astype(np.uint64)
-        by = np.lexsort((key, group[live]))
-        order[live], key = order[live[by]], key[by]
-        g = group[live]
-        new = np.zeros(len(live), bool)
-        new[1:] = (key[1:] != key[:-1]) & (g[1:] == g[:-1])
-        split = np.zeros(len(at), bool)
-        split[live] = new
-        first = np.ones(len(at), bool)
-        first[1:] = (group[1:] != group[:-1]) | split[1:]
-        group = np.cumsum(first) - 1
-        many = np.bincount(group)[group] > 1
-        live = np.flatnonzero(many)
-    if not len(live):
-        return order, group
-    cls = group * (len(at) + 1)
-    edge = np.flatnonzero(np.concatenate([[True], group[live][1:] != group[live][:-1]]))
-    for s, e in zip(edge, np.append(edge[1:], len(live)), strict=True):
-        own = live[s:e]
-        trie, where = BlindTrie(), at[order[own]].tolist()
-        got = np.array([trie.add(data[p + depth : p + size]) for p in where])
+    order, first = multikey(data, at, depth)
+    begin = np.flatnonzero(first)
+    end = np.append(begin[1:], len(at))
+    many = end - begin > 1
+    for s, e in zip(begin[many].tolist(), end[many].tolist(), strict=True):
+        trie = BlindTrie()
+        got = np.array([trie.add(data[p + depth : p + size]) for p in at[order[s:e]].tolist()])
         if trie.classes > 1:
             rank = np.empty(trie.classes, np.int64)
             rank[trie.order()] = np.arange(trie.classes)
             got = rank[got]
             by = np.argsort(got, kind="stable")
-            order[own], got = order[own[by]], got[by]
-            cls[own] += got
-    return order, cls
+            order[s:e], got = order[s:e][by], got[by]
+            first[s + 1 : e] = got[1:] != got[:-1]
+    return order, first
 
 
 def later_copies(strings: list[bytes], k: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,15 +168,15 @@ def later_copies(strings: list[bytes], k: np.ndarray, start: np.ndarray, size: i
     many = np.maximum(0, length - size + 1)
     of = np.repeat(np.arange(len(strings)), many)
     off = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    order, cls = deep_shallow(data, np.repeat(np.cumsum(length) - length, many) + off, size)
-    by = np.lexsort(((start[of] + off)[order], k[of][order], cls))
-    order, cls = order[by], cls[by]
-    first = np.ones(len(order), bool)
-    first[1:] = cls[1:] != cls[:-1]
-    head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    a, b = order, order[head]
-    later = (k[of[a]] != k[of[b]]) | (start[of[a]] + off[a] != start[of[b]] + off[b])
-    hit = np.sort(order[later])
+    order, first = deep_shallow(data, np.repeat(np.cumsum(length) - length, many) + off, size)
+    if not len(order):
+        return order, order
+    begin = np.flatnonzero(first)
+    of_class = np.cumsum(first) - 1
+    key, at = k[of[order]], (start[of] + off)[order]
+    key_low = np.minimum.reduceat(key, begin)[of_class]
+    at_low = np.minimum.reduceat(np.where(key == key_low, at, np.iinfo(np.int64).max), begin)[of_class]
+    hit = np.sort(order[(key != key_low) | (at != at_low)])
     return of[hit], off[hit]
 
 

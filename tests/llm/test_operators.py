@@ -180,10 +180,14 @@ def test_deep_shallow():
     rng = random.Random(1)
     data = bytes(rng.choice(b"ab") for _ in range(3000)) + b"abc" * 200 + bytes(rng.choice(b"ab") for _ in range(400)) * 2
     at = np.arange(len(data) - 60 + 1)
-    order, cls = suffix.deep_shallow(data, at, 60, 8)
-    keys = [data[p : p + 60] for p in at[order]]
-    assert keys == sorted(keys)
-    assert all((a == b) == (x == y) for a, b, x, y in zip(keys, keys[1:], cls, cls[1:]))
+    for shallow in (8, 32, 56):
+        order, first = suffix.deep_shallow(data, at, 60, shallow)
+        keys = [data[p : p + 60] for p in at[order]]
+        assert keys == sorted(keys) and len(set(order.tolist())) == len(at)
+        assert first[0] and all((a != b) == f for a, b, f in zip(keys, keys[1:], first[1:]))
+    order, first = suffix.multikey(data, at, 16)
+    keys = [data[p : p + 16] for p in at[order]]
+    assert keys == sorted(keys) and all((a != b) == f for a, b, f in zip(keys, keys[1:], first[1:]))
 
 
 def test_language(spark, docs, rows, empty):
