@@ -203,11 +203,11 @@ def test_language(spark, docs, rows, empty):
     assert {r.lang_pred for r in alone} == {"en", "und"}
 
 
-def plain_simhash(text):
+def plain_simhash(text, words=3):
     w = bytes(text or "", "utf-8").lower().split()
     if not w:
         return 0
-    shingles = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    shingles = [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))]
     hs = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
@@ -234,14 +234,17 @@ def test_simhash(spark, docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_simhash_links(spark):
+@pytest.mark.parametrize("limit", [3, 7])
+def test_simhash_links(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "SMALL", 5)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(40)]
-    v = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 6))) for b in base for _ in range(30)})
+    v = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, limit + 3))) for b in base for _ in range(30)})
     nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in v], "simhash long").repartition(4)
     from lakesignal.llm._graph import components
 
-    got = {r.node: r.root for r in components(simhash.links(nodes)).collect()}
+    got = {r.node: r.root for r in components(simhash.links(nodes, limit=limit)).collect()}
     root = {x: x for x in v}
 
     def find(x):
@@ -251,7 +254,7 @@ def test_simhash_links(spark):
 
     for i, a in enumerate(v):
         for b in v[:i]:
-            if (a ^ b).bit_count() <= 3:
+            if (a ^ b).bit_count() <= limit:
                 root[find(a)] = find(b)
     sign = lambda x: x - (1 << 64) if x >> 63 else x
     groups = {}
