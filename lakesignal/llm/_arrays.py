@@ -6,6 +6,7 @@ arrays over that buffer, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,6 +39,21 @@ def slices(batches, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatc
             at = end
 
 
+def lean(f):
+    """``f``, a function over record batches, that gives the memory it no longer
+    uses back to the system at its end: Python workers live on, and several
+    wait beside each other on an executor."""
+
+    def run(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary array; null counts as empty."""
     if column.null_count:

@@ -175,7 +175,7 @@ def hot_minimisers(docs: DataFrame, scheme: Scheme, n: int) -> np.ndarray:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(kept[0], 0)), pa.array(np.append(kept[1], total)), pa.array(np.append(np.zeros(len(kept[0]), bool), True))], names=["mz", "c", "every"])
 
-    got = docs.select("text").mapInArrow(count, "mz long, c long, every boolean").groupBy("every", "mz").agg(F.sum("c").alias("c")).persist()
+    got = docs.select("text").mapInArrow(A.lean(count), "mz long, c long, every boolean").groupBy("every", "mz").agg(F.sum("c").alias("c")).persist()
     try:
         total = (got.where("every").agg(F.sum("c")).first()[0] or 0) * share
         return np.sort(np.array([r.mz for r in got.where(~F.col("every") & (F.col("c") > max(1.0, total))).collect()], np.int64))
@@ -281,8 +281,8 @@ def repeated_windows(df: DataFrame, scheme: Scheme, key: str = "doc_id", text: s
             e = min(len(ids[0]), s + 2000)
             yield pa.RecordBatch.from_arrays([pa.array(ids[0][s:e]), pa.array(ids[1][s:e]), pa.array([packed(np.unique(at[cuts[i] : cuts[i + 1]])) for i in range(s, e)], pa.binary())], names=["k", "h", "parts"])
 
-    met = docs.select("k", "h", "text").mapInArrow(cut, "p int, b binary").repartitionById(n, "p").mapInArrow(meet, "p int, b binary")
-    lists = met.repartitionById(n, "p").mapInArrow(gather, "k long, h long, parts binary")
+    met = docs.select("k", "h", "text").mapInArrow(A.lean(cut), "p int, b binary").repartitionById(n, "p").mapInArrow(A.lean(meet), "p int, b binary")
+    lists = met.repartitionById(n, "p").mapInArrow(A.lean(gather), "k long, h long, parts binary")
     hot = hot_minimisers(docs, scheme, n)
     many_rows = hot_rows(docs, n)
     if many_rows is None:
@@ -374,7 +374,7 @@ def repeated_windows(df: DataFrame, scheme: Scheme, key: str = "doc_id", text: s
             x = A.mix(x + g[start + shift])
         return np.where(cut_up, x.view(np.int64), mz[of]), doc[of], at[of] + step, np.where(cut_up, 1, many[of])
 
-    sent = placed.join(over(lists), place).mapInArrow(collect, "to long, k long, h long, at long, many long, weight long, s binary")
+    sent = placed.join(over(lists), place).mapInArrow(A.lean(collect), "to long, k long, h long, at long, many long, weight long, s binary")
 
     def decide(batches):
         held, size, was = [], 0, None
@@ -437,7 +437,7 @@ def repeated_windows(df: DataFrame, scheme: Scheme, key: str = "doc_id", text: s
         cols = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k", "h", "start", "n"])
 
-    spans = sent.repartition(n, "to").sortWithinPartitions("to").mapInArrow(decide, "k long, h long, start long, n long")
+    spans = sent.repartition(n, "to").sortWithinPartitions("to").mapInArrow(A.lean(decide), "k long, h long, start long, n long")
     per_doc = spans.groupBy("k", "h").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     return placed.join(over(per_doc), place, "left")
 

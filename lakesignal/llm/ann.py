@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _arrays as A
 from ._spark import partitions
 
 TOP = 20
@@ -181,8 +182,8 @@ def nearest(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "
         if held:
             yield _ranked(held, k)
 
-    best = met.mapInArrow(tiles, "query_id long, scores array<double>, ids array<long>")
-    return best.repartition(partitions(spark), "query_id").sortWithinPartitions("query_id").mapInArrow(merged, "query_id long, rank int, vec_id long, score double")
+    best = met.mapInArrow(A.lean(tiles), "query_id long, scores array<double>, ids array<long>")
+    return best.repartition(partitions(spark), "query_id").sortWithinPartitions("query_id").mapInArrow(A.lean(merged), "query_id long, rank int, vec_id long, score double")
 
 
 def _ranked(lists: dict[int, list], k: int) -> pa.RecordBatch:

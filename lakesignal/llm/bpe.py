@@ -213,7 +213,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
             ids = [np.array(x.split(), np.int32) for x, _ in c.round_trips(b.column(names.index(text)).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*names, out])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(A.lean(run), schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -232,7 +232,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
                 raise ValueError("an id is not in the vocabulary")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c.decode_lists(lists), pa.binary())], names=[*names, out])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(A.lean(run), schema)
 
 
 def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,4 +254,4 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(A.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -177,7 +177,7 @@ def fit(df: DataFrame, usable: Column, key: str = "doc_id", text: str = "text",
             keep = [i for i, t in enumerate(texts) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([b.column("lang").take(pa.array(keep, pa.int64())), pa.array([x[i].tobytes() for i in keep], pa.binary())], names=["lang", "x"])
 
-    got = sorted(((r["lang"], bytes(r["x"])) for r in chosen.mapInArrow(made, "lang string, x binary").collect()))
+    got = sorted(((r["lang"], bytes(r["x"])) for r in chosen.mapInArrow(A.lean(made), "lang string, x binary").collect()))
     if not got:
         return Model([], [], np.zeros((DIM + 1, 0)), [], np.zeros((DIM + 1, 0)), np.zeros(0))
     return fit_arrays(np.array([np.frombuffer(x, np.float16) for _, x in got], np.float32), [x for x, _ in got])
@@ -196,4 +196,4 @@ def identify(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_
             lang, p = sent.value.predict(b.column(names.index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(p, pa.float64())], names=[*names, pred, score])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(A.lean(run), schema)

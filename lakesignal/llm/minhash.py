@@ -86,7 +86,7 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
             packed = fingerprints(b.column(at.index(text)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in packed], pa.binary())], names=[*at, out])
 
-    return df.drop(out).mapInArrow(run, schema)
+    return df.drop(out).mapInArrow(A.lean(run), schema)
 
 
 @dataclass
@@ -195,4 +195,4 @@ def edited_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 names=[x.split()[0] for x in PAIR_SCHEMA.split(", ")],
             )
 
-    return ordered.mapInArrow(pairs, PAIR_SCHEMA)
+    return ordered.mapInArrow(A.lean(pairs), PAIR_SCHEMA)

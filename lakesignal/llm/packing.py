@@ -139,7 +139,7 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
                     crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(A.lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class BestFit:
@@ -191,7 +191,7 @@ def pack(rows: DataFrame, capacity: int = LENGTH, most: int = OPEN, group: int =
             at = [fit.place(x) for x in b.column("length").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([base + x for x, _ in at], pa.int64()), pa.array([x for _, x in at], pa.int64())], names=[*b.schema.names, "sequence_id", "offset"])
 
-    return ordered.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ordered.mapInArrow(A.lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:

@@ -369,7 +369,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SA
                 a, k, x, y = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(k, pa.list_(pa.string())), pa.array(x, pa.list_(pa.int32())), pa.array(y, pa.list_(pa.int32()))], names=["w", "k", "s", "e"])
 
-    got = rows.mapInArrow(run, "w string, k array<string>, s array<int>, e array<int>").collect()
+    got = rows.mapInArrow(A.lean(run), "w string, k array<string>, s array<int>, e array<int>").collect()
     return fit_windows(sorted((r["w"], list(zip(r["k"], r["s"], r["e"], strict=True))) for r in got))
 
 
@@ -394,46 +394,51 @@ def find(text: str | None, model: Model) -> tuple[list[Span], list[Span]]:
     return base, sorted([*base, *added], key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+_SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
+
+
 def detect(df: DataFrame, model: Model, text: str = "text", out: str = "pii") -> DataFrame:
     """``df`` with the spans found: structs of kind, start, end, base."""
+    base_df = df.drop(out)
+    return _reading(base_df, model, text, base_df.withColumn(out, F.lit(None).cast(_SPANS)).schema, out)
+
+
+def redact(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``df`` with each span of the text replaced by its kind in capitals and
+    brackets; overlapping spans are replaced as one.  A null text stays null."""
+    return _reading(df, model, text, df.schema, None)
+
+
+def _reading(df: DataFrame, model: Model, text: str, schema, out: str | None) -> DataFrame:
     spark = tuned(df.sparkSession)
     sent = spark.sparkContext.broadcast(model)
-    base_df = df.drop(out)
-    names = base_df.columns
-    schema = base_df.withColumn(out, F.lit(None).cast("array<struct<kind:string,start:int,end:int,base:boolean>>")).schema
+    names = df.columns
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
     def run(batches):
         for b in A.slices(batches, text):
+            texts = b.column(names.index(text)).to_pylist()
+            if out is None:
+                new = pa.array([t and masked(t, find(t, sent.value)[1]) for t in texts], pa.string())
+                yield pa.RecordBatch.from_arrays([new if c == text else b.column(i) for i, c in enumerate(names)], names=names)
+                continue
             found = []
-            for t in b.column(names.index(text)).to_pylist():
+            for t in texts:
                 own, every = find(t, sent.value)
                 own_set = set(own)
                 found.append([{"kind": k, "start": s, "end": e, "base": (k, s, e) in own_set} for k, s, e in every])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*names, out])
 
-    return base_df.mapInArrow(run, schema)
-
+    return df.mapInArrow(A.lean(run), schema)
 
-def mask(df: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
-    """``df`` without the spans column, each span replaced by its kind in
-    capitals and brackets; overlapping spans are replaced as one."""
-    names = [c for c in df.columns if c != spans]
 
-    def run(batches):
-        for b in batches:
-            cols = b.schema.names
-            out = []
-            for t, found in zip(b.column(cols.index(text)).to_pylist(), b.column(cols.index(spans)).to_pylist(), strict=True):
-                at, parts = 0, []
-                for x in sorted(found or [], key=lambda x: (x["start"], -x["end"])):
-                    if x["start"] >= at:
-                        parts += [t[at : x["start"]], f"[{x['kind'].upper()}]"]
-                    at = max(at, x["end"])
-                out.append(t if not parts else "".join([*parts, t[at:]]))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else b.column(cols.index(c)) for c in names], names=names)
-
-    return df.mapInArrow(run, df.drop(spans).schema)
+def masked(text: str, spans: list[Span]) -> str:
+    at, parts = 0, []
+    for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if s >= at:
+            parts += [text[at:s], f"[{kind.upper()}]"]
+        at = max(at, e)
+    return "".join([*parts, text[at:]]) if parts else text
 
 
 def digests(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

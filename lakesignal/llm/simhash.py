@@ -76,7 +76,7 @@ def with_simhash(df: DataFrame, text: str = "text", out: str = "simhash", shingl
             v = np.array([simhash(x, shingle) for x in b.column(names.index(text)).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in rest), pa.array(v, pa.int64())], names=[*rest, out])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(A.lean(run), schema)
 
 
 def keys(v: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -173,8 +173,8 @@ def links(nodes: DataFrame, column: str = "simhash", limit: int = LIMIT) -> Data
             src, dst = forest(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
             yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
-    filed = nodes.select(column).mapInArrow(file, "k long, v long")
-    return filed.repartition(partitions(spark), "k").sortWithinPartitions("k").mapInArrow(match, "src long, dst long")
+    filed = nodes.select(column).mapInArrow(A.lean(file), "k long, v long")
+    return filed.repartition(partitions(spark), "k").sortWithinPartitions("k").mapInArrow(A.lean(match), "src long, dst long")
 
 
 def _with_end(batches):

@@ -207,4 +207,4 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
             yield pa.RecordBatch.from_arrays([b.column(b.schema.names.index("row")).field("doc_id"), *(pa.array(x, pa.int64()) for x in (total, gone, runs)), pa.array(kept)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return repeated_bytes(rows, size=size).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeated_bytes(rows, size=size).mapInArrow(A.lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

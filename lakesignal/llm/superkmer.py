@@ -82,7 +82,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size:
                 out.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else row.field(c) for c in names], names=names)
 
-    return repeated_words(df, key, text, size).mapInArrow(run, df.schema)
+    return repeated_words(df, key, text, size).mapInArrow(A.lean(run), df.schema)
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -104,4 +104,4 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     from pyspark.sql import functions as F
 
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return repeated_words(rows, size=size).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return repeated_words(rows, size=size).mapInArrow(A.lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -124,7 +124,7 @@ def sample(df: DataFrame, labels: DataFrame, usable: Column, key: str, text: str
             at = [first[sdoc[i] : sdoc[i + 1] + 1] for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([bucket[x[0] : x[-1]].astype("<u4").tobytes() for x in at]), pa.array([np.diff(x).astype("<u4").tobytes() for x in at])], names=["y", "w", "s"])
 
-    return materialize(rows.mapInArrow(made, "y int, w binary, s binary"), "toxicity")
+    return materialize(rows.mapInArrow(A.lean(made), "y int, w binary, s binary"), "toxicity")
 
 
 def fit(df: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
@@ -141,7 +141,7 @@ def fit(df: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", t
             seen, of = np.unique(np.concatenate(own), return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(np.bincount(of[x], minlength=len(seen))) for x in (toxic, ~toxic))], names=["f", "a", "c"])
 
-    count = rows.mapInArrow(counted, "f long, a long, c long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
+    count = rows.mapInArrow(A.lean(counted), "f long, a long, c long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
     f, a, c = (x.to_numpy() for x in count.where(F.col("a") + F.col("c") >= LEAST_DOCS).toArrow().columns)  # at most BUCKETS + 1 rows
     total = f == -1
     chosen = np.sort(f[~total][select(a[~total], c[~total], int(a[total].sum()), int(c[total].sum()))])
@@ -156,7 +156,7 @@ def fit(df: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", t
                 s.append(np.diff(np.concatenate([[0], np.cumsum(has)])[np.concatenate([[0], np.cumsum(n)])]).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(w, pa.binary()), pa.array(s, pa.binary())], names=["y", "w", "s"])
 
-    got = sorted((r["y"], bytes(r["w"]), bytes(r["s"])) for r in rows.mapInArrow(kept, "y int, w binary, s binary").toArrow().to_pylist())
+    got = sorted((r["y"], bytes(r["w"]), bytes(r["s"])) for r in rows.mapInArrow(A.lean(kept), "y int, w binary, s binary").toArrow().to_pylist())
     bucket = np.frombuffer(b"".join(w for _, w, _ in got), "<u4").astype(np.int64)
     first = np.concatenate([[0], np.cumsum(np.frombuffer(b"".join(s for _, _, s in got), "<u4").astype(np.int64))])
     sdoc = np.concatenate([[0], np.cumsum([len(s) // 4 for _, _, s in got])]).astype(np.int64)
@@ -191,4 +191,4 @@ def score(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text", th
                 found.append([{"start": int(starts[k] - off[i]), "score": float(p[k])} for k in (bad if len(bad) else own[[p[own].argmax()]])])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.clip(whole, 0, 1), pa.float64()), pa.array(found, kind)], names=[*names, out, where])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(A.lean(run), schema)

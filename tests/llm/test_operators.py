@@ -307,7 +307,9 @@ def test_pii(docs, rows, empty):
     assert by_id(got, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == sorted(want)
     extra = {r.doc_id: r.spans for r in got}
     assert "email" in extra[1020]
-    masked = pii.mask(pii.detect(docs, pii.fit(docs))).where("doc_id = 1014").first().text
+    clean = pii.redact(docs, pii.fit(docs))
+    assert clean.columns == docs.columns and clean.count() == len(rows) and clean.where("doc_id = 1000").first().text is None
+    masked = clean.where("doc_id = 1014").first().text
     assert "[EMAIL]" in masked and "[IP]" in masked and "4111" not in masked
     assert pii.digests(empty, pii.fit(empty)).count() == 0
 
