@@ -55,7 +55,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; a null text stays null."""
-    clean = pii.mask(pii.detect(docs.select(*COLUMNS), pii.fit(docs), out="_pii"), spans="_pii")
+    clean = pii.redact(docs.select(*COLUMNS), pii.fit(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
