@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesignal.functions.records import is_relevant
@@ -41,17 +41,31 @@ def tables(records: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def write(records: DataFrame, root: str) -> None:
-    """Parse once, write four tables."""
+def write(records: DataFrame, root: str, single: bool = False) -> dict[str, int]:
+    """Parse once, write four tables; ``single``: one file each but for the
+    articles.  Gives rows read and relevant articles (see ``totals``)."""
     records = records.persist()
     try:
         for name, df in tables(records).items():
             if name == "articles":
                 df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(f"{root}/{name}")
             else:
-                df.write.mode("overwrite").parquet(f"{root}/{name}")
+                (df.coalesce(1) if single else df).write.mode("overwrite").parquet(f"{root}/{name}")
     finally:
         records.unpersist()
+    spark = records.sparkSession
+    return totals(spark.read.parquet(f"{root}/domain_day"), spark.read.parquet(f"{root}/articles")).first().asDict()
+
+
+def totals(by_day: DataFrame, articles: DataFrame) -> DataFrame:
+    """One row: all rows read, and the relevant articles."""
+    return by_day.agg(F.sum("n_rows").alias("rows")).join(F.broadcast(articles.agg(F.count("*").alias("relevant"))))
+
+
+def done(spark: SparkSession, root: str) -> bool:
+    """Whether the table written last is complete."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/series_15m/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

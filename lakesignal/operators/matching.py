@@ -21,15 +21,19 @@ def near(src: DataFrame, dst: DataFrame, width: int, t: str = "t", on: tuple[str
     return a.join(b, cond & (F.abs(F.col(f"src_{t}") - F.col(f"dst_{t}")) <= width)).drop("_b", "_c")
 
 
-def top_by_vector(src: DataFrame, dst: DataFrame, width: int, key: str = "id", vector: str = "vec", t: str = "t") -> DataFrame:
+def top_by_vector(src: DataFrame, dst: DataFrame, width: int, key: str = "id", vector: str = "vec", t: str = "t", carry: tuple[str, ...] = ()) -> DataFrame:
     """Each source's candidate of the largest inner product in the window, ties
-    to the earliest, then the smallest key; null key and -1 without any."""
-    pairs = near(src.select(key, vector, t), dst.select(key, vector, t), width, t)
-    best = pairs.groupBy(f"src_{key}").agg(F.max_by(F.struct(F.col(f"dst_{key}").alias("d"), dot(F.col(f"src_{vector}"), F.col(f"dst_{vector}")).alias("s")), F.struct(dot(F.col(f"src_{vector}"), F.col(f"dst_{vector}")), -F.col(f"dst_{t}"), -F.col(f"dst_{key}"))).alias("m"))
-    return src.select(F.col(key).alias(f"src_{key}")).join(best, f"src_{key}", "left").select(f"src_{key}", F.col("m.d").alias(f"dst_{key}"), F.coalesce("m.s", F.lit(-1.0)).alias("score"))
+    to the earliest, then the smallest key; null key and -1 without any.  The
+    candidate's ``carry`` columns come along as dst_ columns."""
+    pairs = near(src.select(key, vector, t), dst.select(key, vector, t, *carry), width, t)
+    pairs = pairs.withColumn("_s", dot(F.col(f"src_{vector}"), F.col(f"dst_{vector}")))
+    kept = [F.col(f"dst_{c}") for c in (key, *carry)]
+    best = pairs.groupBy(f"src_{key}").agg(F.max_by(F.struct(*kept, "_s"), F.struct("_s", -F.col(f"dst_{t}"), -F.col(f"dst_{key}"))).alias("m"))
+    got = src.select(F.col(key).alias(f"src_{key}")).join(best, f"src_{key}", "left")
+    return got.select(f"src_{key}", *[F.col(f"m.dst_{c}") for c in (key, *carry)], F.coalesce("m._s", F.lit(-1.0)).alias("score"))
 
 
-def top_by_entities(src: DataFrame, dst: DataFrame, width: int, rare: float = 0.03, least: int = 2, key: str = "id", entities: str = "entities", t: str = "t") -> DataFrame:
+def top_by_entities(src: DataFrame, dst: DataFrame, width: int, rare: float = 0.03, least: int = 2, key: str = "id", entities: str = "entities", t: str = "t", carry: tuple[str, ...] = ()) -> DataFrame:
     """Each source's candidate with most shared rare entities in the window, at
     least ``least``; ties to the earliest, then the smallest key.  An entity is
     rare if in less than ``rare`` of all rows; others go before the join, so
@@ -41,7 +45,10 @@ def top_by_entities(src: DataFrame, dst: DataFrame, width: int, rare: float = 0.
     pairs = near(one(src).join(few, "e"), one(dst).join(few, "e"), width, t, ("e",))
     shared = pairs.groupBy(f"src_{key}", f"dst_{key}").agg(F.count("*").alias("shared"), F.first(f"dst_{t}").alias("dt")).where(F.col("shared") >= least)
     best = shared.groupBy(f"src_{key}").agg(F.max_by(F.struct(F.col(f"dst_{key}").alias("d"), F.col("shared").alias("s")), F.struct("shared", -F.col("dt"), -F.col(f"dst_{key}"))).alias("m"))
-    return src.select(F.col(key).alias(f"src_{key}")).join(best, f"src_{key}", "left").select(f"src_{key}", F.col("m.d").alias(f"dst_{key}"), F.coalesce("m.s", F.lit(0)).alias("shared"))
+    got = src.select(F.col(key).alias(f"src_{key}")).join(best, f"src_{key}", "left").select(f"src_{key}", F.col("m.d").alias(f"dst_{key}"), F.coalesce("m.s", F.lit(0)).alias("shared"))
+    if carry:
+        got = got.join(dst.select(F.col(key).alias(f"dst_{key}"), *[F.col(c).alias(f"dst_{c}") for c in carry]), f"dst_{key}", "left")
+    return got
 
 
 def first_by_hash(df: DataFrame, stratum: str, key: str, n: int, seed: str = "1") -> DataFrame:
@@ -51,10 +58,9 @@ def first_by_hash(df: DataFrame, stratum: str, key: str, n: int, seed: str = "1"
 
 
 def equal_coverage(scored: DataFrame, score: str, other: DataFrame, key: str) -> DataFrame:
-    """As many best-scored rows as ``other`` has."""
-    n = other.agg(F.count("*").alias("_n"))
-    ranked = scored.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(score), key)))
-    return ranked.join(F.broadcast(n)).where("_r <= _n").drop("_r", "_n")
+    """As many best-scored rows as ``other`` has, counted first: an ordered
+    limit keeps that many in each task and merges them."""
+    return scored.orderBy(F.desc(score), key).limit(other.count())
 
 
 def headlines(marks: DataFrame, items: DataFrame, before: int, most: int = 8, t: str = "t", group: str = "group", title: str = "title") -> DataFrame:
@@ -63,3 +69,52 @@ def headlines(marks: DataFrame, items: DataFrame, before: int, most: int = 8, t:
     w = Window.partitionBy(f"src_{group}", f"src_{t}").orderBy(f"dst_{t}", f"dst_{title}")
     top = pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
     return top.groupBy(F.col(f"src_{group}").alias(group), F.col(f"src_{t}").alias(t)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.col(f"dst_{title}").alias("x")))), lambda s: s["x"]), " | ").alias("headlines"))
+
+
+def tagged_entities(persons: Column, orgs: Column) -> Column:
+    """Persons and organisations as one set, told apart by a prefix."""
+    tag = lambda c, p: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(F.lit(p), x))
+    return F.array_union(tag(persons, "p:"), tag(orgs, "o:"))
+
+
+def normalised(vector: Column) -> Column:
+    """A vector of length 1, rounded to five places; a zero vector stays."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.transform(vector, lambda x: F.round(F.when(norm > 0, x.cast("double") / norm).otherwise(0.0), 5))
+
+
+def eligible(articles: DataFrame, least: int = 15) -> DataFrame:
+    """Articles about the region whose title is longer than ``least`` characters."""
+    return articles.where(F.col("about_baltic") & (F.length("title") > least))
+
+
+def sides(articles: DataFrame, one: str = "ru_by", others: tuple[str, ...] = ("baltic", "baltic_rus")) -> tuple[DataFrame, DataFrame]:
+    """Sources and candidates of the matcher."""
+    rows = eligible(articles)
+    return rows.where(F.col("group") == one), rows.where(F.col("group").isin(*others))
+
+
+def embedded(rows: DataFrame, encode, title: str = "title", out: str = "vec") -> DataFrame:
+    """``rows`` with the vector of their title; each distinct title is encoded
+    once.  ``encode`` makes a column of vectors from a column of texts."""
+    titles = rows.select(title).distinct()
+    return rows.join(titles.withColumn(out, normalised(encode(F.col(title)))), title)
+
+
+def match(src: DataFrame, dst: DataFrame, encode, hours: int = 48) -> DataFrame:
+    """Each source with its best counterpart by cosine and by shared rare names
+    within the window.  Rows: id, ts (stamp), domain, title, persons, orgs."""
+    both = src.select("title").union(dst.select("title"))
+    vectors = embedded(both.distinct(), encode)
+
+    def made(df: DataFrame) -> DataFrame:
+        own = df.select("id", "domain", "title", F.unix_seconds(F.to_timestamp("ts", "yyyyMMddHHmmss")).alias("t"), tagged_entities(F.col("persons"), F.col("orgs")).alias("entities"))
+        return own.join(vectors, "title")
+
+    # counterparts are told apart by a hash of the id
+    a, b = made(src), made(dst).withColumn("n", F.xxhash64("id"))
+    emb = top_by_vector(a.withColumn("n", F.xxhash64("id")), b, hours * 3600, "n", carry=("title", "domain"))
+    ent = top_by_entities(a.withColumn("n", F.xxhash64("id")), b, hours * 3600, key="n", carry=("title", "domain"))
+    left = a.select(F.xxhash64("id").alias("src_n"), F.col("id").alias("src_id"), F.col("domain").alias("src_domain"), F.col("title").alias("src_title"))
+    with_emb = left.join(emb.select("src_n", F.round("score", 4).alias("emb_cos"), F.col("dst_title").alias("emb_title"), F.col("dst_domain").alias("emb_domain")), "src_n")
+    return with_emb.join(ent.select("src_n", F.col("shared").cast("int").alias("ent_shared"), F.col("dst_title").alias("ent_title"), F.col("dst_domain").alias("ent_domain")), "src_n").drop("src_n")

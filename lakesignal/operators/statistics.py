@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: 97.5 % point of the normal distribution.
@@ -35,27 +35,43 @@ def clusters(df: DataFrame, group: str, cluster: str, num: Column, den: Column)
     return df.groupBy(group, cluster).agg(F.sum(num).alias("num"), F.sum(den).alias("den"))
 
 
-def ratio_difference(table: DataFrame, a: str, b: str, group: str = "group", cluster: str = "cluster", resamples: int = 2000) -> DataFrame:
-    """Difference of two groups' ratios of sums with its cluster-bootstrap 95 %
-    percentile interval: value, low, high (one row).
+def ratio_differences(table: DataFrame, one: str, others: tuple[str, ...], group: str = "group", cluster: str = "cluster", resamples: int = 2000) -> DataFrame:
+    """Difference of one group's ratio of sums to each other's, with its
+    cluster-bootstrap 95 % percentile interval: reference, value, low, high.
 
     Draw k of resample b picks the cluster numbered md5(b, k, group) modulo the
-    group's number of clusters.  Draws are counted for each (resample, cluster)
-    before they meet the sums; the work is resamples x clusters rows, spread by
-    resample.
+    group's number of clusters.  Draws are exploded in the partition of their
+    (group, resample), counted there by cluster and then joined with the
+    numbered sums, so the work of resamples x clusters rows spreads by resample.
     """
-    own = table.where(F.col(group).isin(a, b)).select(F.col(group).alias("g"), F.col(cluster).alias("c"), "num", "den")
-    order = own.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("c", F.col("num").cast("double").alias("num"), F.col("den").cast("double").alias("den")))).alias("m"))
-    numbered = order.withColumn("n", F.size("m"))
-    point = own.groupBy().agg(*[(F.sum(F.when(F.col("g") == x, F.col("num").cast("double"))) / F.sum(F.when(F.col("g") == x, F.col("den").cast("double")))).alias(x0) for x, x0 in ((a, "pa"), (b, "pb"))]).select((F.col("pa") - F.col("pb")).alias("value"))
-    draws = numbered.select("g", "m", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    key = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", F.col("b"), k, F.col("g")).cast("binary")), 1, 8), 16, 10).cast("long")
-    picked = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.get(F.col("m"), F.pmod(key(k), F.col("n")).cast("int")))
-    total = lambda f: F.aggregate("s", F.lit(0.0), lambda acc, x: acc + x[f])
-    ratios = draws.select("g", "b", picked.alias("s")).select("g", "b", (total("num") / total("den")).alias("r"))
-    diff = ratios.groupBy("b").agg((F.max(F.when(F.col("g") == a, F.col("r"))) - F.max(F.when(F.col("g") == b, F.col("r")))).alias("d"))
-    interval = diff.agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
-    return point.join(F.broadcast(interval))  # one row each
+    own = table.where(F.col(group).isin(one, *others)).select(F.col(group).alias("g"), F.col(cluster).alias("c"), F.col("num").cast("double").alias("num"), F.col("den").cast("double").alias("den"))
+    numbered = own.withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("c")).cast("long") - 1).select("g", "i", "num", "den")
+    total = own.groupBy("g").agg(F.count("*").alias("n"), (F.sum("num") / F.sum("den")).alias("p"))
+    each = total.select("g", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).repartition("g", "b")
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("b"), F.col("k"), F.col("g")).cast("binary")), 1, 8), 16, 10).cast("long")
+    drawn = each.select("g", "b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).select("g", "b", F.pmod(key, F.col("n")).alias("i"))
+    picked = drawn.groupBy("g", "b", "i").agg(F.count("*").alias("m")).join(numbered, ["g", "i"])
+    ratios = picked.groupBy("g", "b").agg((F.sum(F.col("m") * F.col("num")) / F.sum(F.col("m") * F.col("den"))).alias("r"))
+    mine = ratios.where(F.col("g") == one).select("b", F.col("r").alias("r1"))
+    spread = ratios.where(F.col("g") != one).join(mine, "b").groupBy("g").agg(F.percentile(F.col("r1") - F.col("r"), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    first = total.where(F.col("g") == one).select(F.col("p").alias("p1"))  # one row
+    point = total.where(F.col("g") != one).join(F.broadcast(first)).select("g", (F.col("p1") - F.col("p")).alias("value"))
+    return point.join(spread, "g").select(F.col("g").alias("reference"), "value", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def ratio_difference(table: DataFrame, a: str, b: str, group: str = "group", cluster: str = "cluster", resamples: int = 2000) -> DataFrame:
+    """``ratio_differences`` to one group: value, low, high (one row)."""
+    return ratio_differences(table, a, (b,), group, cluster, resamples).select("value", "low", "high")
+
+
+def all_above(differences: DataFrame, value: float = 0.0) -> DataFrame:
+    """One row: whether every interval lies above the value."""
+    return differences.agg(F.bool_and(above(F.col("low"), value)).alias("accepted"))
+
+
+def all_below(differences: DataFrame, value: float = 0.0) -> DataFrame:
+    """One row: whether every interval lies below the value."""
+    return differences.agg(F.bool_and(below(F.col("high"), value)).alias("accepted"))
 
 
 def equivalence(low: Column, high: Column, margin: float = 0.5) -> Column:
@@ -63,6 +79,14 @@ def equivalence(low: Column, high: Column, margin: float = 0.5) -> Column:
     return F.when(within(low, high, margin), "same within the margin").when((low <= 0) & (high >= 0), "no detectable difference").otherwise("different")
 
 
+def joint_equivalence(differences: DataFrame, margin: float = 0.5) -> DataFrame:
+    """One row: the verdict over all references; all within the margin is asked
+    first, then whether all intervals hold 0."""
+    inside = F.bool_and(within(F.col("low"), F.col("high"), margin))
+    straddle = F.bool_and((F.col("low") <= 0) & (F.col("high") >= 0))
+    return differences.agg(F.when(inside, "same within the margin").when(straddle, "no detectable difference").otherwise("different").alias("verdict"))
+
+
 def normal_label(c: Column) -> Column:
     """y, n or null."""
     x = F.lower(F.trim(c))
@@ -88,3 +112,11 @@ def scaling(runs: DataFrame, keys: tuple[str, ...] = ("engine", "days"), workers
     got = runs.groupBy(*keys, workers).agg(F.median(seconds).alias("median"), F.min(seconds).alias("min"), F.max(seconds).alias("max"), F.count("*").alias("n"))
     one = got.where(F.col(workers) == 1).select(*keys, F.col("median").alias("one"))
     return got.join(one, list(keys), "left").withColumn("speed_up", F.col("one") / F.col("median")).withColumn("efficiency", F.col("speed_up") / F.col(workers)).drop("one")
+
+
+def beats(scaled: DataFrame, one: str = "spark", other: str = "python", engine: str = "engine", workers: str = "workers") -> DataFrame:
+    """One row: whether the first engine's median is under the other's fastest
+    run, both at the other's most workers; null if either did not run so."""
+    top = scaled.where(F.col(engine) == other).agg(F.max_by(F.struct(workers, "min"), workers).alias("o")).select("o.*")
+    same = scaled.where(F.col(engine) == one).select(F.col(workers).alias("w"), "median").join(F.broadcast(top), F.col("w") == F.col(workers))
+    return same.agg(F.max(F.col("median") < F.col("min")).alias("beats"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lakesignal.functions import records as R
 from lakesignal.functions import slots as S
-from lakesignal.operators import checks, lake, matching, spikes
+from lakesignal.operators import checks, lake, matching, reports, spikes
 from lakesignal.operators import statistics as T
 from lakesignal.session import shared_dir
 from lakesignal.streaming import monitor
@@ -45,15 +45,13 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dense(spark: SparkSession, d: str) -> DataFrame:
-    one = counts(spark, d)
-    grid = S.spine(one, "ts").join(F.broadcast(one.select("event_type").distinct()))  # a handful of types
-    return grid.join(one, ["ts", "event_type"], "left").select("ts", "event_type", F.coalesce("count", F.lit(0)).alias("count"))
+    return spikes.dense(counts(spark, d), TYPES, "ts", "event_type").select("ts", "event_type", "count")
 
 
 SLOT = "time_bucket(INTERVAL 15 MINUTES, ts)"
 COUNTS = f"SELECT {SLOT} AS ts, event_type, count(*)::BIGINT AS \"count\" FROM events GROUP BY ALL"
 DENSE = f"""WITH c AS ({COUNTS}), s AS (SELECT unnest(generate_series((SELECT min(ts) FROM c), (SELECT max(ts) FROM c), INTERVAL 15 MINUTES)) AS ts),
-g AS (SELECT s.ts, k.event_type, coalesce(c."count", 0)::BIGINT AS "count" FROM s CROSS JOIN (SELECT DISTINCT event_type FROM c) k LEFT JOIN c ON c.ts = s.ts AND c.event_type = k.event_type)"""
+g AS (SELECT s.ts, k.event_type, coalesce(c."count", 0)::BIGINT AS "count" FROM s CROSS JOIN (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS event_type) k LEFT JOIN c ON c.ts = s.ts AND c.event_type = k.event_type)"""
 ROLLED = f"""{DENSE}, r AS (SELECT *, sum("count") OVER (PARTITION BY event_type ORDER BY ts ROWS 3 PRECEDING)::BIGINT AS observed FROM g),
 h AS (SELECT *, dayofweek(ts) IN (0, 6) AS weekend, hour(ts) AS hr FROM r),
 p AS (SELECT *, list(CASE WHEN minute(ts) = 45 THEN observed END) OVER (PARTITION BY event_type, weekend, hr ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS every FROM h),
@@ -106,9 +104,9 @@ def json_field(spark, d):
     return t(spark, d, "events", "event_id", "props").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT event_id, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS number, TRY_CAST(CASE WHEN regexp_full_match(event_type, '[0-9.]+') THEN event_type END AS DOUBLE) AS none FROM events")
+@query("SELECT event_id, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS number, TRY_CAST(CASE WHEN event_id % 3 = 0 THEN event_type ELSE ' ' || (event_id / 8) || ' ' END AS DOUBLE) AS mixed FROM events")
 def safe_float(spark, d):
-    return t(spark, d, "events", "event_id", "props", "event_type").select("event_id", R.safe_double(F.regexp_extract("props", "([0-9]+)", 1)).alias("number"), R.safe_double(F.col("event_type")).alias("none"))
+    return t(spark, d, "events", "event_id", "props", "event_type").select("event_id", R.safe_double(F.regexp_extract("props", "([0-9]+)", 1)).alias("number"), R.safe_double(F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.concat(F.lit(" "), (F.col("event_id") / 8).cast("string"), F.lit(" ")))).alias("mixed"))
 
 
 @query("SELECT lang, count(*)::BIGINT AS texts, sum(first_id)::BIGINT AS ids FROM (SELECT text, lang, min(doc_id) AS first_id FROM documents GROUP BY text, lang) GROUP BY lang")
@@ -190,38 +188,28 @@ def ratio_diff(spark, d):
     return by_supplier(spark, d).agg(F.round(share("ASIA") - share("EUROPE"), 8).alias("difference"))
 
 
-BOOT = f"""WITH c AS ({CLUSTERS}), m AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY cluster) - 1 AS i, count(*) OVER (PARTITION BY "group") AS n FROM c WHERE "group" IN ('ASIA', 'EUROPE')),
-draws AS (SELECT g."group", b.b, ('0x' || substr(md5(b.b || ':' || k.k || ':' || g."group"), 1, 8))::BIGINT % g.n AS i FROM (SELECT DISTINCT "group", n FROM m) g, range(200) b(b), range(1000) k(k) WHERE k.k < g.n),
+def boot(clusters: str, one: str, others: tuple[str, ...], resamples: int = 2000) -> str:
+    """SQL of ``ratio_differences``: ci(reference, value, low, high)."""
+    names = ", ".join(f"'{x}'" for x in (one, *others))
+    return f"""WITH c AS ({clusters}), m AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY cluster) - 1 AS i, count(*) OVER (PARTITION BY "group") AS n FROM c WHERE "group" IN ({names})),
+draws AS (SELECT g."group", b.b, ('0x' || substr(md5(b.b || ':' || k.k || ':' || g."group"), 1, 8))::BIGINT % g.n AS i FROM (SELECT DISTINCT "group", n FROM m) g, range({resamples}) b(b), (SELECT unnest(range((SELECT max(n) FROM m))) AS k) k WHERE k.k < g.n),
 r AS (SELECT d."group", d.b, sum(num) / sum(den) AS r FROM draws d JOIN m ON m."group" = d."group" AND m.i = d.i GROUP BY ALL),
-x AS (SELECT b, max(r) FILTER (WHERE "group" = 'ASIA') - max(r) FILTER (WHERE "group" = 'EUROPE') AS d FROM r GROUP BY b),
-v AS (SELECT sum(num) FILTER (WHERE "group" = 'ASIA') / sum(den) FILTER (WHERE "group" = 'ASIA') - sum(num) FILTER (WHERE "group" = 'EUROPE') / sum(den) FILTER (WHERE "group" = 'EUROPE') AS value FROM c),
-ci AS (SELECT (SELECT value FROM v) AS value, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM x)"""
+p AS (SELECT "group", sum(num) / sum(den) AS p FROM m GROUP BY ALL),
+x AS (SELECT o."group" AS reference, s.r - o.r AS d FROM r s JOIN r o ON s.b = o.b AND s."group" = '{one}' AND o."group" <> '{one}'),
+ci AS (SELECT x.reference, max(s.p) - max(o.p) AS value, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM x JOIN p o ON o."group" = x.reference, (SELECT p FROM p WHERE "group" = '{one}') s GROUP BY x.reference)"""
+
+
+BOOT = boot(CLUSTERS, "ASIA", ("EUROPE",))
 
 
 @query(f"{BOOT} SELECT round(value, 7) AS value, round(low, 7) AS low, round(high, 7) AS high FROM ci")
 def bootstrap_ci(spark, d):
-    got = T.ratio_difference(by_supplier(spark, d), "ASIA", "EUROPE", resamples=200)
+    got = T.ratio_difference(by_supplier(spark, d), "ASIA", "EUROPE")
     return got.select(*[F.round(c, 7).alias(c) for c in ("value", "low", "high")])
 
 
 @query(f"{BOOT} SELECT CASE WHEN low > -0.005 AND high < 0.005 THEN 'same within the margin' WHEN low <= 0 AND high >= 0 THEN 'no detectable difference' ELSE 'different' END AS verdict, low > 0 AS above, high < 0 AS below FROM ci")
 def equivalence_verdict(spark, d):
-    got = T.ratio_difference(by_supplier(spark, d), "ASIA", "EUROPE", resamples=200)
-    return got.select(T.equivalence(F.col("low"), F.col("high"), 0.005).alias("verdict"), T.above(F.col("low")).alias("above"), T.below(F.col("high")).alias("below"))
-
-
-#: The operator's 2000 resamples, as many draws as the larger group has clusters.
-BOOT_FULL = BOOT.replace("range(200) b(b)", "range(2000) b(b)").replace("range(1000) k(k)", "(SELECT unnest(range((SELECT max(n) FROM m))) AS k) k")
-
-
-@query(f"{BOOT_FULL} SELECT round(value, 7) AS value, round(low, 7) AS low, round(high, 7) AS high FROM ci")
-def bootstrap_ci_full(spark, d):
-    got = T.ratio_difference(by_supplier(spark, d), "ASIA", "EUROPE")
-    return got.select(*[F.round(c, 7).alias(c) for c in ("value", "low", "high")])
-
-
-@query(f"{BOOT_FULL} SELECT CASE WHEN low > -0.005 AND high < 0.005 THEN 'same within the margin' WHEN low <= 0 AND high >= 0 THEN 'no detectable difference' ELSE 'different' END AS verdict, low > 0 AS above, high < 0 AS below FROM ci")
-def equivalence_verdict_full(spark, d):
     got = T.ratio_difference(by_supplier(spark, d), "ASIA", "EUROPE")
     return got.select(T.equivalence(F.col("low"), F.col("high"), 0.005).alias("verdict"), T.above(F.col("low")).alias("above"), T.below(F.col("high")).alias("below"))
 
@@ -250,7 +238,8 @@ def wilson_precision(spark, d):
 def interval_flags(spark, d):
     rows = rated(spark, d)
     fr = rows.where("stratum = 'fr'").agg(F.max("high").alias("h"))  # one row
-    return rows.join(F.broadcast(fr)).select("stratum", (F.col("low") > 0.8).alias("above"), (F.col("high") < 0.9).alias("below"), ((F.col("low") > 0.7) & (F.col("high") < 1)).alias("inside"), (F.col("low") > F.col("h")).alias("beats"))
+    half = F.lit(0.85)
+    return rows.join(F.broadcast(fr)).select("stratum", T.above(F.col("low"), 0.8).alias("above"), T.below(F.col("high"), 0.9).alias("below"), T.within(F.col("low") - half, F.col("high") - half, 0.15).alias("inside"), (F.col("low") > F.col("h")).alias("beats"))
 
 
 @query("SELECT doc_id, CASE WHEN quality = 1 THEN 'y' WHEN toxic = 0 THEN 'n' END AS label FROM labels")
@@ -263,12 +252,15 @@ THEMES = f"""WITH x AS ({TOKENS} WHERE lang IN ('en', 'de')), c AS (SELECT token
 s AS (SELECT *, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM c), l AS (SELECT token, a::BIGINT AS a, b::BIGINT AS b, round(ln((a / ta) / (b / tb)), 6) AS log_ratio FROM s WHERE a >= 5 AND b >= 5 AND NOT starts_with(token, 'x'))"""
 
 
+def tokens(spark, d) -> DataFrame:
+    """Counts of (lang, token) as the lake counts themes."""
+    rows = t(spark, d, "documents", "lang", "text").where(F.col("lang").isin("en", "de")).select(F.col("lang").alias("group"), F.split(F.lower("text"), "[ \t\n\r]+").alias("token"))
+    return lake.theme_group(rows, "token", "group").where("theme <> ''")
+
+
 def ratios(spark, d):
-    rows = t(spark, d, "documents", "lang", "text").where(F.col("lang").isin("en", "de")).select("lang", F.explode(F.split(F.lower("text"), "[ \t\n\r]+")).alias("token")).where("token <> ''")
-    c = rows.groupBy("token").agg(F.count_if(F.col("lang") == "en").alias("a"), F.count_if(F.col("lang") == "de").alias("b"))
-    total = rows.agg(F.count_if(F.col("lang") == "en").alias("ta"), F.count_if(F.col("lang") == "de").alias("tb"))  # over all tokens, one row
-    kept = c.where((F.col("a") >= 5) & (F.col("b") >= 5) & ~F.col("token").startswith("x")).join(F.broadcast(total))
-    return kept.select("token", "a", "b", F.round(F.ln((F.col("a") / F.col("ta")) / (F.col("b") / F.col("tb"))), 6).alias("log_ratio"))
+    got = reports.theme_ratios(tokens(spark, d), "en", "de", 5, (), ("x",))
+    return got.select(F.col("theme").alias("token"), F.col("en").alias("a"), F.col("de").alias("b"), F.round("log_ratio", 6).alias("log_ratio"))
 
 
 @query(f"{THEMES} SELECT * FROM l")
@@ -278,9 +270,8 @@ def theme_log_ratio(spark, d):
 
 @query(f"{THEMES}, r AS (SELECT *, row_number() OVER (ORDER BY log_ratio, token) AS up, row_number() OVER (ORDER BY log_ratio DESC, token DESC) AS down FROM l) SELECT token, a, b, log_ratio FROM r WHERE up <= 10 OR down <= 10")
 def theme_top_bottom(spark, d):
-    """A report of ten at either end: two ordered limits, no global window."""
-    rows = ratios(spark, d)
-    return rows.orderBy("log_ratio", "token").limit(10).union(rows.orderBy(F.desc("log_ratio"), F.desc("token")).limit(10)).distinct()
+    """A report of ten at either end."""
+    return reports.both_ends(ratios(spark, d), "log_ratio", "token", 10)
 
 
 EMBED = """WITH p AS (SELECT s.vec_id AS src_id, x.vec_id AS dst_id, list_inner_product(s.embedding::DOUBLE[], x.embedding::DOUBLE[]) AS score FROM embeddings s JOIN embeddings x ON s.label < 5 AND x.label >= 5 AND abs(s.vec_id - x.vec_id) <= 48),
@@ -328,17 +319,11 @@ def stratified_sample(spark, d):
     return matching.first_by_hash(t(spark, d, "orders", "o_orderpriority", "o_orderkey"), "o_orderpriority", "o_orderkey", 25).select(F.col("o_orderpriority").alias("stratum"), "o_orderkey", "item")
 
 
-@query(f"""WITH x AS (SELECT event_type AS g, epoch({SLOT})::BIGINT AS t, event_id FROM events), m AS (SELECT DISTINCT g, t FROM x WHERE t % 86400 = 43200),
+@query(f"""WITH x AS (SELECT event_type AS g, epoch({SLOT})::BIGINT AS t, event_id FROM events), m AS (SELECT DISTINCT g, t FROM x),
 r AS (SELECT m.g, m.t, x.event_id, x.t AS xt, row_number() OVER (PARTITION BY m.g, m.t ORDER BY x.t, lpad(x.event_id::VARCHAR, 12, '0')) AS n FROM m JOIN x ON x.g = m.g AND x.t BETWEEN m.t - 2700 AND m.t)
 SELECT g, t, string_agg(lpad(event_id::VARCHAR, 12, '0'), ' | ' ORDER BY n) AS headlines FROM r WHERE n <= 8 GROUP BY g, t""")
 def correlated_headlines(spark, d):
-    x = events(spark, d, "event_id").select(F.col("event_type").alias("g"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("title"))
-    return matching.headlines(x.where("t % 86400 = 43200").select("g", "t").distinct(), x, 2700, 8, "t", "g", "title")
-
-
-@query(ORACLES["correlated_headlines"].replace(" WHERE t % 86400 = 43200", ""))
-def correlated_headlines_all(spark, d):
-    """Every (type, slot) with an event is a mark; ``correlated_headlines`` has the noon slots only."""
+    """Every (type, slot) with an event is a mark."""
     x = events(spark, d, "event_id").select(F.col("event_type").alias("g"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("title"))
     return matching.headlines(x.select("g", "t").distinct(), x, 2700, 8, "t", "g", "title")
 
@@ -378,11 +363,13 @@ def closed(spark: SparkSession, d: str, security: Column) -> DataFrame:
     return spark.read.schema(monitor.CLOSED).parquet(f"{base}/out")
 
 
-@query(f"""SELECT strftime({SLOT}, '%Y%m%d%H%M%S') AS slot, count(*)::BIGINT AS "rows", count(*)::BIGINT AS about, count(*) FILTER (WHERE event_type = 'error')::BIGINT AS errors FROM events GROUP BY ALL""")
+@query(f"""SELECT strftime({SLOT}, '%Y%m%d%H%M%S') AS slot, count(*)::BIGINT AS "rows", count(*)::BIGINT AS about, count(*) FILTER (WHERE event_type = 'error')::BIGINT AS errors, count(*)::BIGINT AS batch_rows, false AS differ FROM events GROUP BY ALL""")
 def stream_equals_batch(spark, d):
-    """The events as message files through the stateful stream."""
+    """The events as message files through the stateful stream, beside the batch's counts."""
     got = closed(spark, d, F.col("event_type") == "error")
-    return got.select("slot", "rows", "about", F.coalesce(F.get_json_object("security", "$.error").cast("long"), F.lit(0)).alias("errors"))
+    one = counts(spark, d).groupBy(S.to_stamp(F.col("ts").cast("timestamp")).alias("slot")).agg(F.sum("count").alias("batch_rows"))
+    both = got.join(one, "slot", "full")
+    return both.select("slot", "rows", "about", F.coalesce(F.get_json_object("security", "$.error").cast("long"), F.lit(0)).alias("errors"), "batch_rows", (~F.col("rows").eqNullSafe(F.col("batch_rows"))).alias("differ"))
 
 
 @query("SELECT CASE WHEN n_chars >= 5000 THEN 'long' WHEN n_chars >= 1000 THEN 'middle' ELSE 'short' END AS band, count(*)::BIGINT AS n FROM documents WHERE length(text) > 15 GROUP BY ALL")

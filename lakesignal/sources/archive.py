@@ -24,14 +24,14 @@ def rows_of(content: bytes) -> Iterator[list[str]]:
 
 
 def read_archive(spark: SparkSession, root: str, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
-    """Every row of the zips under root/feed=*/dt=YYYYMMDD/, days pruned by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(root)
-    day = F.regexp_extract("path", r"/dt=(\d{8})/", 1)
+    """Every row of the zips under root/feed=*/dt=YYYYMMDD/; days outside the
+    range are pruned as partitions, so their files are neither opened nor read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(root)
+    day = F.col("dt").cast("string")
     if first_day:
         files = files.where(day >= first_day)
     if last_day:
         files = files.where(day <= last_day)
-    feed = F.when(F.col("path").contains("/feed=tr/"), "tr").otherwise("en")
 
     def unzip(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -45,7 +45,7 @@ def read_archive(spark: SparkSession, root: str, first_day: str | None = None, l
                 if held:
                     yield pd.DataFrame({"path": path, "feed": feed, "cols": held})
 
-    return files.select("path", feed.alias("feed"), "content").mapInPandas(unzip, ROWS)
+    return files.select("path", "feed", "content").mapInPandas(unzip, ROWS)
 
 
 def jobs(spark: SparkSession, slots: DataFrame, feeds: tuple[str, ...] = ("en", "tr")) -> DataFrame:
@@ -66,7 +66,7 @@ def mirror(wanted: DataFrame, have: DataFrame, fetch: Callable[[str, str], bytes
             got = [fetch(f, s) for f, s in zip(p.feed, p.slot, strict=True)]
             yield p.assign(outcome=["missing" if g is None else "stored" for g in got], content=got)
 
-    return todo.mapInPandas(run, "feed string, slot string, outcome string, content binary")
+    return todo.select("feed", "slot").mapInPandas(run, "feed string, slot string, outcome string, content binary")
 
 
 def outcomes(fetched: DataFrame) -> DataFrame:
@@ -87,3 +87,16 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A label sheet: every column text, empty cells kept."""
     df = spark.read.option("header", True).option("inferSchema", False).csv(path)
     return df.fillna("")
+
+
+def read_runs(spark: SparkSession, root: str) -> DataFrame:
+    """The result files of all benchmark runs, one JSON document each."""
+    return spark.read.schema("engine string, days int, workers int, tag string, repeat int, day string, files long, rows long, relevant long, wall_s double").option("multiLine", True).json(f"{root}/*-r*.json")
+
+
+def pending(spark: SparkSession, configs: DataFrame, done: DataFrame, cores: int, repeats: int = 3, seed: str = "1") -> DataFrame:
+    """Runs (engine, days, workers, repeat) still to do on a machine with so
+    many cores, each distinct configuration ``repeats`` times, in a fixed random order."""
+    wanted = configs.distinct().where(F.col("workers") <= cores).select("engine", "days", "workers", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
+    left = wanted.join(done.select("engine", "days", "workers", "repeat"), ["engine", "days", "workers", "repeat"], "left_anti")
+    return left.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "engine", "days", "workers", "repeat").cast("binary")))

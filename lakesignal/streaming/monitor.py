@@ -16,6 +16,7 @@ keyed stage before this one where one key is not enough.
 from __future__ import annotations
 
 import json
+import time
 from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
@@ -29,7 +30,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lakesignal.operators import spikes
 
 MESSAGE = "seq long, kind string, slot string, feed string, id string, url string, about boolean, security boolean, group string, ids int, sent_at double"
-CLOSED = "slot string, rows long, about long, security string, feeds string, sent_at double, alerts string"
+CLOSED = "slot string, rows long, about long, security string, feeds string, sent_at double, closed_at double, alerts string"
 FEEDS = ("en", "tr")
 GRACE = 96
 STAMP = "%Y%m%d%H%M%S"
@@ -108,7 +109,7 @@ class Assembler:
             self.closed = slot
             yield {
                 "slot": slot, "rows": sum(len(f["keys"]) for f in s["feeds"].values()), "about": s["about"], "security": json.dumps(s["security"], sort_keys=True),
-                "feeds": ",".join(sorted(k for k, f in s["feeds"].items() if f["announced"] is not None)), "sent_at": s["sent_at"], "alerts": json.dumps(self.detector.feed(slot, s["security"])),
+                "feeds": ",".join(sorted(k for k, f in s["feeds"].items() if f["announced"] is not None)), "sent_at": s["sent_at"], "closed_at": time.time(), "alerts": json.dumps(self.detector.feed(slot, s["security"])),
             }
 
     def dump(self) -> str:

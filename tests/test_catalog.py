@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lakesignal.plans import catalog
+from lakesignal.plans import catalog, studies  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,7 +41,7 @@ def test_headlines_of_every_slot(spark):
     want = {}
     for g, t in {r[:2] for r in rows}:
         want[g, t] = " | ".join(x for _, x in sorted((u, x) for h, u, x in rows if h == g and t - 2700 <= u <= t)[:8])
-    got = {(r.g, r.t): r.headlines for r in catalog.QUERIES["correlated_headlines_all"](spark, SF).collect()}
+    got = {(r.g, r.t): r.headlines for r in catalog.QUERIES["correlated_headlines"](spark, SF).collect()}
     assert got == want
     assert any(t % 86400 != 43200 for _, t in got)
 
@@ -55,15 +55,15 @@ def test_bootstrap_of_2000_resamples(spark):
         return sum(x[1] for x in drawn) / sum(x[2] for x in drawn)
 
     want = np.percentile([ratio("ASIA", b) - ratio("EUROPE", b) for b in range(2000)], [2.5, 97.5])
-    got = catalog.QUERIES["bootstrap_ci_full"](spark, SF).first()
+    got = catalog.QUERIES["bootstrap_ci"](spark, SF).first()
     assert np.allclose([got.low, got.high], want, atol=1e-6)
-    verdict = catalog.QUERIES["equivalence_verdict_full"](spark, SF).first()
+    verdict = catalog.QUERIES["equivalence_verdict"](spark, SF).first()
     assert (verdict.above, verdict.below) == (got.low > 0, got.high < 0)
 
 
 def test_full_bootstrap_sql_draws_every_cluster(db):
     """Over 1,000 clusters a group, each resample draws as many as there are."""
-    sql = catalog.BOOT_FULL.replace(catalog.CLUSTERS, "SELECT * FROM made")
+    sql = catalog.BOOT.replace(catalog.CLUSTERS, "SELECT * FROM made")
     db.execute("CREATE TEMP TABLE made AS SELECT g AS \"group\", c AS cluster, 1 AS num, 2 AS den FROM (VALUES ('ASIA'), ('EUROPE')) g(g), range(1200) c(c)")
     drawn = db.execute(sql.replace("range(2000) b(b)", "range(2) b(b)") + " SELECT \"group\", b, count(*) FROM draws GROUP BY ALL").fetchall()
     assert len(drawn) == 4 and {n for _, _, n in drawn} == {1200}
