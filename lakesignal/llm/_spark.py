@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakesignal.session import shared_dir
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 
 
 def tuned(spark: SparkSession) -> SparkSession:

@@ -42,7 +42,7 @@ from ._spark import tuned
 #: Bytes of text that are encoded at a time; bytes, by estimate, of what a
 #: worker remembers of words; bytes of distinct words in one recursive query;
 #: bytes of a word that is contracted one pair at a step.
-SLICE, MEMORY, QUERY_BYTES, LONG = 2 << 20, 40 << 20, 200_000, 48
+SLICE, MEMORY, QUERY_BYTES, LONG = 4 << 20, 40 << 20, 200_000, 48
 
 # Plain characters by kind, as the split pattern's classes have them.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"

@@ -32,7 +32,7 @@ OPEN = 256
 GROUP = 30_000
 #: Bytes of text that are encoded at a time; bytes, by estimate, of the units'
 #: ids that a worker remembers.
-SLICE, MEMORY = 2 << 20, 24 << 20
+SLICE, MEMORY = 4 << 20, 32 << 20
 
 # Characters whose normal form and kind depend on nothing around
 # them, and the tokenizer's split pattern over them.
@@ -69,6 +69,7 @@ class WordIds:
         added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.added = re.compile("|".join(added)) if added else None
         self.letters = dict(enumerate(byte_letters()))
+        self.bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[str, bytes] = {}
         self.size = 0
 
@@ -87,25 +88,30 @@ class WordIds:
                 out.append("\0" + piece)
         return out
 
-    def _ids(self, key: str) -> bytes:
-        if key[0] == "\0":
-            return np.array(self.tokenizer.encode(key[1:], add_special_tokens=False).ids, "<u4").tobytes()
-        if not key.isascii():
-            key = key.encode().decode("latin-1").translate(self.letters)
-        return b"".join([x.id.to_bytes(4, "little") for x in self.tokenizer.model.tokenize(key)])
+    def _encoded(self, keys: list[str]) -> dict[str, bytes]:
+        tokenize, four, letters, join = self.tokenizer.model.tokenize, self.bytes, self.letters, b"".join
+        out = {}
+        for key in keys:
+            if key[0] == "\0":
+                ids = self.tokenizer.encode(key[1:], add_special_tokens=False).ids
+                out[key] = join([four[i] for i in ids])
+            else:
+                own = tokenize(key if key.isascii() else key.encode().decode("latin-1").translate(letters))
+                out[key] = four[own[0].id] if len(own) == 1 else join([four[x.id] for x in own])
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         cut = [self._units(x) if x else [] for x in texts]
-        known = self.known
-        now = {x: known[x] if x in known else self._ids(x) for x in set().union(*cut)}
+        every = set().union(*cut)
+        fresh = self._encoded(list(every.difference(self.known)))
+        now = self.known | fresh if len(self.known) < len(every) else {x: self.known[x] for x in every.intersection(self.known)} | fresh
         out = [b"".join(map(now.__getitem__, x)) for x in cut]
-        for x, ids in now.items():
+        for x, ids in fresh.items():
             if self.size >= MEMORY:
                 break
-            if x not in known:
-                known[x] = ids
-                self.size += len(x) + len(ids) + 180
+            self.known[x] = ids
+            self.size += len(x) + len(ids) + 180
         return out
 
 
