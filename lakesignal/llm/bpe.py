@@ -42,7 +42,7 @@ from ._spark import tuned
 #: Bytes of text that are encoded at a time; bytes, by estimate, of what a
 #: worker remembers of words; bytes of distinct words in one recursive query;
 #: bytes of a word that is contracted one pair at a step.
-SLICE, MEMORY, QUERY_BYTES, LONG = 4 << 20, 40 << 20, 200_000, 48
+SLICE, MEMORY, QUERY_BYTES, LONG = 4 << 20, 96 << 20, 200_000, 48
 
 # Plain characters by kind, as the split pattern's classes have them.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -115,30 +115,31 @@ class Codec:
         for t in self.ranks:
             b = np.frombuffer(t, np.uint8)
             self.inner[b[:-1], b[1:]] = True
+        self.text = [str(i) for i in range(1 + max(self.ranks.values()))]
         self.ids: dict[str, str] = {}
         self.raw: dict[str, bytes] = {}
         self.size = 0
 
     def _parts(self, word: bytes) -> list[bytes]:
-        if len(word) <= LONG:
-            return [word]
+        """A long word cut where no merge can cross."""
         b = np.frombuffer(word, np.uint8)
         at = [0, *(np.flatnonzero(~self.inner[b[:-1], b[1:]]) + 1).tolist(), len(word)]
         return [word[s:e] for s, e in zip(at, at[1:], strict=False)]
 
     def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of words, by the recursive queries."""
-        parts = [self._parts(w) for w in words]
-        todo = sorted(set(chain.from_iterable(parts)) - {b""}, key=len)
-        done: dict[bytes, tuple[int, ...]] = {b"": ()}
+        """Ids of distinct words, by the recursive queries."""
+        cut = {w: self._parts(w) for w in words if len(w) > LONG}
+        todo = list({*words, *chain.from_iterable(cut.values())}.difference([w for w, own in cut.items() if len(own) > 1], [b""])) if cut else [w for w in words if w]
+        size = np.fromiter(map(len, todo), np.int64, len(todo))
+        order = np.argsort(size, kind="stable")
+        todo, size = [todo[i] for i in order.tolist()], size[order]
+        short, upto, done = int(np.searchsorted(size, LONG, side="right")), np.cumsum(size), {b"": ()}
         at = 0
         while at < len(todo):
-            long, end, size = len(todo[at]) > LONG, at, 0
-            while end < len(todo) and (end == at or size + len(todo[end]) <= QUERY_BYTES) and (len(todo[end]) > LONG) == long:
-                size += len(todo[end])
-                end += 1
-            part = todo[at:end]
-            length = np.array([len(x) for x in part])
+            long = at >= short
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + QUERY_BYTES, side="right")))
+            end = end if long else min(end, short)
+            part, length = todo[at:end], size[at:end]
             w = np.repeat(np.arange(len(part)), length)
             pos = np.arange(len(w)) - np.repeat(np.cumsum(length) - length, length)
             tok = self.byte[np.frombuffer(b"".join(part), np.uint8)]
@@ -147,9 +148,12 @@ class Codec:
             self.db.unregister("bytes")
             cuts = np.searchsorted(got["spot"] >> 32, np.arange(len(part) + 1)).tolist()
             ids = tuple(got["tok"].tolist())
-            done.update((x, ids[s:e]) for x, s, e in zip(part, cuts, cuts[1:], strict=False))
+            done.update(zip(part, [ids[s:e] for s, e in zip(cuts, cuts[1:], strict=False)], strict=True))
             at = end
-        return [done[own[0]] if len(own) == 1 else tuple(chain.from_iterable(map(done.__getitem__, own))) for own in parts]
+        for w, own in cut.items():
+            if len(own) > 1:
+                done[w] = tuple(chain.from_iterable(map(done.__getitem__, own)))
+        return [done[w] for w in words]
 
     def decode_lists(self, lists: list) -> list[bytes]:
         """Bytes of each list of ids, by the ordered aggregation."""
@@ -178,7 +182,8 @@ class Codec:
         every = set().union(*cut)
         fresh = list(every.difference(self.ids))
         lists = self.encode_words([w.encode() for w in fresh])
-        new = dict(zip(fresh, [" ".join(map(str, x)) for x in lists], strict=True))
+        text = self.text
+        new = dict(zip(fresh, [" ".join([text[i] for i in x]) for x in lists], strict=True))
         back = dict(zip(fresh, self.decode_lists(lists), strict=True))
         known = every.intersection(self.ids)
         ids, raw = ({w: m[w] for w in known} | n for m, n in ((self.ids, new), (self.raw, back)))
