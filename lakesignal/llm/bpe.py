@@ -19,7 +19,9 @@ bytes by themselves merge into that token alone (true of ranks made by merging;
 tested for the file): so no contraction gives a pair of lesser rank.  A word
 takes as many steps as it uses different merges, not as it has bytes.
 
-Null text counts as empty: no tokens, empty decoded text.
+Null text counts as empty: no tokens, empty decoded text.  Repeated rows are
+encoded each; texts of any length are encoded whole; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -9,6 +9,11 @@ byte 1- to 3-grams of the lower-cased letters.
 (chosen by a hash of their id), features being made on the executors; only
 those rows of ``DIM`` half floats reach the driver.  Null or letterless text
 is ``und`` with score 0; with no labelled text everything is ``und``.
+
+Within a family the most votes win, ties going to the greater sum of the
+pairs' probabilities and then to the first language by name.  Repeated rows
+count and are predicted each; texts of any length are read whole; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

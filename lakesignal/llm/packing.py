@@ -9,7 +9,8 @@ the fullest closes first.
 Pieces (not texts or ids) are dealt by a hash into packing groups of about
 ``GROUP`` pieces, each packed by itself in a fixed order, so a repeated task
 gives the same result.  At most ``OPEN`` bins of a group stay partly filled.
-Null text counts as empty (the closing id only); repeated rows are packed each.
+Null text counts as empty (the closing id only); repeated rows are packed each;
+texts of any length are encoded whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ judged on the input.  Consecutive windows that share a minimiser travel as one
 packed string to their bucket, where sorting counts windows exactly.
 
 Null text has no words.  A repeated row is another text with the same windows.
-Shorter texts than a window lose nothing.
+Shorter texts than a window lose nothing; texts of any length are read whole;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
