@@ -79,8 +79,9 @@ def tagged_entities(persons: Column, orgs: Column) -> Column:
 
 def normalised(vector: Column) -> Column:
     """A vector of length 1, rounded to five places; a zero vector stays."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: F.round(F.when(norm > 0, x.cast("double") / norm).otherwise(0.0), 5))
+    # bound as lambda variables, so that neither is computed again for each component
+    bound = F.transform(F.array(vector), lambda v: F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("n")))
+    return F.flatten(F.transform(bound, lambda r: F.transform(r["v"], lambda x: F.round(F.when(r["n"] > 0, x.cast("double") / r["n"]).otherwise(0.0), 5))))
 
 
 def eligible(articles: DataFrame, least: int = 15) -> DataFrame:
@@ -111,10 +112,12 @@ def match(src: DataFrame, dst: DataFrame, encode, hours: int = 48) -> DataFrame:
         own = df.select("id", "domain", "title", F.unix_seconds(F.to_timestamp("ts", "yyyyMMddHHmmss")).alias("t"), tagged_entities(F.col("persons"), F.col("orgs")).alias("entities"))
         return own.join(vectors, "title")
 
-    # counterparts are told apart by a hash of the id
-    a, b = made(src), made(dst).withColumn("n", F.xxhash64("id"))
-    emb = top_by_vector(a.withColumn("n", F.xxhash64("id")), b, hours * 3600, "n", carry=("title", "domain"))
-    ent = top_by_entities(a.withColumn("n", F.xxhash64("id")), b, hours * 3600, key="n", carry=("title", "domain"))
-    left = a.select(F.xxhash64("id").alias("src_n"), F.col("id").alias("src_id"), F.col("domain").alias("src_domain"), F.col("title").alias("src_title"))
+    # rows are told apart by a hash of the id
+    a, b = (made(x).withColumn("n", F.xxhash64("id")) for x in (src, dst))
+    emb = top_by_vector(a.select("n", "t", "title", "domain", "entities", "vec"), b, hours * 3600, "n", carry=("title", "domain"))
+    # names need no vector, so that side is not made from the encoded titles
+    plain = [x.select(F.xxhash64("id").alias("n"), "title", "domain", F.unix_seconds(F.to_timestamp("ts", "yyyyMMddHHmmss")).alias("t"), tagged_entities(F.col("persons"), F.col("orgs")).alias("entities")) for x in (src, dst)]
+    ent = top_by_entities(*plain, hours * 3600, key="n", carry=("title", "domain"))
+    left = src.select(F.xxhash64("id").alias("src_n"), F.col("id").alias("src_id"), F.col("domain").alias("src_domain"), F.col("title").alias("src_title"))
     with_emb = left.join(emb.select("src_n", F.round("score", 4).alias("emb_cos"), F.col("dst_title").alias("emb_title"), F.col("dst_domain").alias("emb_domain")), "src_n")
     return with_emb.join(ent.select("src_n", F.col("shared").cast("int").alias("ent_shared"), F.col("dst_title").alias("ent_title"), F.col("dst_domain").alias("ent_domain")), "src_n").drop("src_n")

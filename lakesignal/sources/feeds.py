@@ -96,8 +96,9 @@ def hashed_encoder(dim: int = 64) -> Callable[[Column], Column]:
 
     def encode(text: Column) -> Column:
         words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-        marks = F.transform(words, lambda w: F.xxhash64(w))
-        place = lambda i: F.aggregate(marks, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dim)) == i, F.when(F.pmod(F.shiftright(h, 8), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0))
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), place)
+        marks = F.array(F.transform(words, lambda w: F.xxhash64(w)))  # bound below, so made once
+        sign = lambda h: F.when(F.pmod(F.shiftright(h, 8), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+        place = lambda m, i: F.aggregate(m, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dim)) == i, sign(h)).otherwise(0.0))
+        return F.flatten(F.transform(marks, lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: place(m, i))))
 
     return encode
