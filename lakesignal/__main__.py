@@ -163,7 +163,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lakesignal", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("--data", default=os.environ.get("DATA_DIR", "data"))
     p.add_argument("--kafka", default=os.environ.get("KAFKA", "localhost:9092"))
-    p.add_argument("--topic", default=os.environ.get("TOPIC", "gkg.raw"))
+    p.add_argument("--topic", default=os.environ.get("TOPIC", "records"))
     p.add_argument("--base", default=os.environ.get("FEED_BASE", ""), help="address of the feeds' files")
     sub = p.add_subparsers(required=True, metavar="command")
 

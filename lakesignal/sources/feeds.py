@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RETRIES, BACKOFF, AGAIN = 4, 2.0, (500, 502, 503, 504)
-#: A file's name in an index or an address; the second feed is a translation.
+# Fixed value: a file's name in an index or an address; the second feed is a translation.
 NAME = r"(\d{14})\.(translation\.)?gkg\.csv\.zip"
 
 
