@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakesignal.operators import draws
+
+#: Ranges into which the resamples of each group are dealt.
+PARTS = 16
 #: 97.5 % point of the normal distribution.
 Z95 = 1.959963984540054
 
@@ -40,20 +45,28 @@ def ratio_differences(table: DataFrame, one: str, others: tuple[str, ...], group
     cluster-bootstrap 95 % percentile interval: reference, value, low, high.
 
     Draw k of resample b picks the cluster numbered md5(b, k, group) modulo the
-    group's number of clusters.  Draws are exploded in the partition of their
-    (group, resample), counted there by cluster and then joined with the
-    numbered sums, so the work of resamples x clusters rows spreads by resample.
+    group's number of clusters.  The numbered sums go to PARTS ranges of the
+    resamples; the draws are made there in arrays (see ``draws``) and summed at
+    once, so they are rows nowhere, whatever the number of clusters.
     """
     own = table.where(F.col(group).isin(one, *others)).select(F.col(group).alias("g"), F.col(cluster).alias("c"), F.col("num").cast("double").alias("num"), F.col("den").cast("double").alias("den"))
-    numbered = own.withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("c")).cast("long") - 1).select("g", "i", "num", "den")
-    total = own.groupBy("g").agg(F.count("*").alias("n"), (F.sum("num") / F.sum("den")).alias("p"))
-    each = total.select("g", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).repartition("g", "b")
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("b"), F.col("k"), F.col("g")).cast("binary")), 1, 8), 16, 10).cast("long")
-    drawn = each.select("g", "b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).select("g", "b", F.pmod(key, F.col("n")).alias("i"))
-    picked = drawn.groupBy("g", "b", "i").agg(F.count("*").alias("m")).join(numbered, ["g", "i"])
-    ratios = picked.groupBy("g", "b").agg((F.sum(F.col("m") * F.col("num")) / F.sum(F.col("m") * F.col("den"))).alias("r"))
-    mine = ratios.where(F.col("g") == one).select("b", F.col("r").alias("r1"))
-    spread = ratios.where(F.col("g") != one).join(mine, "b").groupBy("g").agg(F.percentile(F.col("r1") - F.col("r"), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    total = own.groupBy("g").agg((F.sum("num") / F.sum("den")).alias("p"))
+    numbered = own.select("g", (F.row_number().over(Window.partitionBy("g").orderBy("c")) - 1).alias("i"), "num", "den")
+    parts = min(PARTS, resamples)
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = numbered.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(tasks, "g", "part")  # a stated number, as so few bytes would else go to one task
+
+    def resampled(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("i").combine_chunks()
+        g, part = (x.as_py() for x in key)
+        first, end = (x * resamples // parts for x in (part, part + 1))
+        num, den = draws.sums(first, end, str(g), [rows[x].combine_chunks() for x in ("num", "den")])
+        return pa.table({"g": pa.array([g] * (end - first), key[0].type), "b": range(first, end), "num": pa.array(num, pa.float64()), "den": pa.array(den, pa.float64())})
+
+    kind = own.schema["g"].dataType.simpleString()
+    ratios = dealt.groupBy("g", "part").applyInArrow(resampled, f"g {kind}, b bigint, num double, den double").select("g", "b", (F.col("num") / F.col("den")).alias("r"))
+    mine = F.max(F.when(F.col("g") == one, F.col("r"))).over(Window.partitionBy("b"))
+    spread = ratios.withColumn("r1", mine).where(F.col("g") != one).groupBy("g").agg(F.percentile(F.col("r1") - F.col("r"), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     first = total.where(F.col("g") == one).select(F.col("p").alias("p1"))  # one row
     point = total.where(F.col("g") != one).join(F.broadcast(first)).select("g", (F.col("p1") - F.col("p")).alias("value"))
     return point.join(spread, "g").select(F.col("g").alias("reference"), "value", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

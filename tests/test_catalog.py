@@ -7,6 +7,8 @@ import duckdb
 import numpy as np
 import pytest
 
+from lakesignal.operators import draws
+from lakesignal.operators import statistics as T
 from lakesignal.plans import catalog, studies  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +78,59 @@ def test_series_compare_sees_a_wrong_stream(spark, monkeypatch):
     monkeypatch.setattr(catalog.monitor, "read_messages", lambda s, p: read(s, p).selectExpr("* EXCEPT (`group`)", f"if(id = '{other}', 'elsewhere', `group`) AS `group`"))
     rows = catalog.QUERIES["series_compare"](spark, SF).where("differ").collect()
     assert len(rows) == 1 and rows[0].in_batch - rows[0].in_stream == 1
+
+
+def operators_of(plan):
+    """Name, output rows and broadcast bytes of every operator that ran."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        yield from operators_of(plan.executedPlan())
+    elif name.endswith("QueryStageExec"):
+        yield from operators_of(plan.plan())
+    else:
+        metrics = plan.metrics()
+        value = lambda m: metrics.apply(m).value() if metrics.contains(m) else 0
+        yield name, value("numOutputRows"), value("dataSize") if name.startswith("BroadcastExchange") else 0
+        children = plan.children()
+        for i in range(children.size()):
+            yield from operators_of(children.apply(i))
+
+
+@pytest.mark.parametrize("name", ["attention_differences"])
+def test_draws_are_rows_nowhere(spark, name):
+    """Draws that were rows went to the driver in a broadcast of gigabytes."""
+    df = catalog.QUERIES[name](spark, "/root/testdata/sf0.01")
+    df.collect()
+    ran = list(operators_of(df._jdf.queryExecution().executedPlan()))
+    assert sum(n for x, n, _ in ran if x == "GenerateExec") < 20_000  # 80,000 draws at least
+    assert sum(b for _, _, b in ran) < 20 << 20
+
+
+@pytest.mark.parametrize("group", ["ASIA", "", "view (translated)", "x" * 48, "ü" * 70])
+def test_draws_in_arrays(group):
+    """Against the digests themselves: names over a block, numbers of all lengths, several tiles."""
+    for n, first, end in ((1, 0, 12), (11, 95, 130), (1234, 1990, 2000), (40_000, 9, 11)):
+        got = {b: [] for b in range(first, end)}
+        for bs, drawn in draws.tiles(first, end, n, group):
+            for b, row in zip(bs, drawn, strict=True):
+                got[b].extend(row.tolist())
+        for b in (first, end - 1):
+            assert got[b] == [int(hashlib.md5(f"{b}:{k}:{group}".encode()).hexdigest()[:8], 16) % n for k in range(n)]
+        assert {len(x) for x in got.values()} == {n}
+
+
+def test_bootstrap_of_odd_clusters(spark):
+    """Null numerators, few resamples, names in two blocks, and a group that is missing."""
+    long = "g" * 60
+    own = {g: [(f"c{i:03d}", None if i % 3 == 0 else i + len(g) / 10, 1.0 + i % 4) for i in range(25)] for g in ("a", long)}
+    rows = [(g, c, num, den) for g, own_rows in own.items() for c, num, den in own_rows]
+    table = spark.createDataFrame(rows, "`group` string, cluster string, num double, den double")
+
+    def ratio(g, b):
+        drawn = [own[g][int(hashlib.md5(f"{b}:{k}:{g}".encode()).hexdigest()[:8], 16) % 25] for k in range(25)]
+        return sum(x[1] or 0 for x in drawn) / sum(x[2] for x in drawn)
+
+    got = T.ratio_differences(table, "a", (long, "none"), resamples=7).collect()
+    assert [r.reference for r in got] == [long]
+    assert np.allclose([got[0].low, got[0].high], np.percentile([ratio("a", b) - ratio(long, b) for b in range(7)], [2.5, 97.5]))
+    assert T.ratio_differences(table, "none", ("a",), resamples=7).collect() == []
