@@ -96,7 +96,7 @@ def operators_of(plan):
             yield from operators_of(children.apply(i))
 
 
-@pytest.mark.parametrize("name", ["attention_differences", "tone_differences", "bootstrap_ci", "attention_accepted", "framing_verdict"])
+@pytest.mark.parametrize("name", ["attention_differences", "tone_differences", "bootstrap_ci", "attention_accepted", "framing_verdict", "tone_differences_security"])
 def test_draws_are_rows_nowhere(spark, name):
     """Draws that were rows went to the driver in a broadcast of gigabytes."""
     df = catalog.QUERIES[name](spark, "/root/testdata/sf0.01")
