@@ -134,3 +134,15 @@ def test_bootstrap_of_odd_clusters(spark):
     assert [r.reference for r in got] == [long]
     assert np.allclose([got[0].low, got[0].high], np.percentile([ratio("a", b) - ratio(long, b) for b in range(7)], [2.5, 97.5]))
     assert T.ratio_differences(table, "none", ("a",), resamples=7).collect() == []
+
+
+def test_titles_with_other_entities_and_ends(spark, tmp_path):
+    """Against the SQL: entities it leaves, cut ones, each kind of space, no title, null."""
+    inner = ["A &amp; B", "&quot;x&quot; &lt;b&gt; &#39;", "cut &amp", "&amp;lt; &amp;amp;", " \t x \n ", "\u00a0\u3000x\u2003 \u202f", "\u2028x\u200b", "a\nb", "", "   ", "Stra\u00dfe&nbsp;", "<title>y"]
+    pages = [(i, f"<html><title>{x}</title><title>z</title>") for i, x in enumerate(inner)] + [(100, "no title"), (101, None), (102, "<title>open")]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = con.execute(catalog.ORACLES["page_title"]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["page_title"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) == len(pages)
