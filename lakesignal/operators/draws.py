@@ -86,28 +86,31 @@ def messages(bs: np.ndarray, ks: np.ndarray, group: str) -> list[int | np.ndarra
     return words
 
 
-def tiles(first: int, end: int, n: int, group: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def tiles(first: int, end: int, n: int, group: str, *more: int) -> Iterator[tuple[np.ndarray, ...]]:
     """The resamples' numbers, and a row of drawn clusters for each of them;
-    every draw of resamples first to end - 1 in one of the tiles."""
-    for ks in by_digits(0, n):
+    every draw of resamples first to end - 1 in one of the tiles.  A further
+    array for each of more numbers of clusters, from the same digests."""
+    for ks in by_digits(0, max(n, *more) if more else n):
         for at in range(0, len(ks), TILE):
             some = ks[at : at + TILE]
             step = max(1, TILE // len(some))
             for bs in by_digits(first, end):
                 for b in range(0, len(bs), step):
                     few = bs[b : b + step]
-                    yield few, heads(messages(few, some, group), (len(few), len(some))).astype(np.int64) % n
+                    found = heads(messages(few, some, group), (len(few), len(some)))
+                    yield few, *(found[:, : max(0, x - some[0])] % np.uint32(x) for x in (n, *more))
 
 
-def sums(first: int, end: int, group: str, columns: list[pa.Array]) -> list[list[float | None]]:
-    """The columns' sums over the clusters that each resample draws; null
-    values count for nothing, and a sum of nulls alone is null."""
-    values = [x.fill_null(0.0).to_numpy(zero_copy_only=False) for x in columns]
-    known = [x.is_valid().to_numpy(zero_copy_only=False) if x.null_count else None for x in columns]
+def sums(first: int, end: int, group: str, tables: list[list[pa.Array]]) -> list[list[list[float | None]]]:
+    """For each of the group's tables its columns' sums over the clusters that
+    each resample draws; null values count for nothing, and a sum of nulls alone
+    is null."""
+    columns = [(t, x.fill_null(0.0).to_numpy(zero_copy_only=False), x.is_valid().to_numpy(zero_copy_only=False) if x.null_count else None) for t, own in enumerate(tables) for x in own]
     total, some = np.zeros((len(columns), end - first)), np.zeros((len(columns), end - first), bool)
-    for bs, drawn in tiles(first, end, len(columns[0]), group):
+    for bs, *drawn in tiles(first, end, len(tables[0][0]), group, *(len(x[0]) for x in tables[1:])):
         at = slice(bs[0] - first, bs[-1] - first + 1)
-        for j, (v, k) in enumerate(zip(values, known, strict=True)):
-            total[j, at] += v[drawn].sum(axis=1)
-            some[j, at] |= True if k is None else k[drawn].any(axis=1)
-    return [[float(x) if y else None for x, y in zip(*of, strict=True)] for of in zip(total, some, strict=True)]
+        for j, (t, v, k) in enumerate(columns):
+            total[j, at] += v[drawn[t]].sum(axis=1)
+            some[j, at] |= True if k is None else k[drawn[t]].any(axis=1)
+    found = iter([[float(x) if y else None for x, y in zip(*of, strict=True)] for of in zip(total, some, strict=True)])
+    return [[next(found) for _ in own] for own in tables]

@@ -40,17 +40,17 @@ def reference_of() -> Column:
     return F.when((F.col("group") == "other") & (F.col("feed") == "tr"), "other (translated)").when(F.col("group") == "baltic_rus", "baltic_rus")
 
 
+def sided(articles: DataFrame, one: str = ONE, named: Column | None = None) -> DataFrame:
+    """Articles of the group and of the comparison groups that have a tone."""
+    side = F.when(F.col("group") == one, one).otherwise(reference_of() if named is None else named)
+    return toned(articles).withColumn("side", side).where("side IS NOT NULL")
+
+
 def tone_differences(articles: DataFrame, security: bool, one: str = ONE, named: Column | None = None, resamples: int = 2000) -> DataFrame:
     """The group's mean tone less each comparison group's, on security stories
     or on the others: reference, value, low, high."""
-    side = F.when(F.col("group") == one, one).otherwise(reference_of() if named is None else named)
-    rows = toned(articles).where(F.col("security") == security).withColumn("side", side).where("side IS NOT NULL")
-    table = T.clusters(rows, "side", "domain", F.col("tone"), F.lit(1)).persist()
-    try:
-        others = tuple(sorted(r.side for r in table.select("side").distinct().collect() if r.side != one))  # a handful of groups
-    finally:
-        table.unpersist()
-    return T.ratio_differences(table, one, others, "side", "domain", resamples)
+    table = T.clusters(sided(articles, one, named).where(F.col("security") == security), "side", "domain", F.col("tone"), F.lit(1))
+    return T.ratio_differences(table, one, None, "side", "domain", resamples)
 
 
 def mean_tone(articles: DataFrame) -> DataFrame:
@@ -59,8 +59,10 @@ def mean_tone(articles: DataFrame) -> DataFrame:
     return got.select("group", F.col("false").alias("other_stories"), F.col("true").alias("security"))
 
 
-def framing(articles: DataFrame, margin: float = MARGIN, **more) -> DataFrame:
+def framing(articles: DataFrame, margin: float = MARGIN, one: str = ONE, named: Column | None = None, resamples: int = 2000) -> DataFrame:
     """One row: tone is lower than every reference's on other stories; and the
-    verdict on security stories."""
-    lower = T.all_below(tone_differences(articles, False, **more)).select(F.col("accepted").alias("lower_accepted"))
-    return lower.join(F.broadcast(T.joint_equivalence(tone_differences(articles, True, **more), margin)))  # one row each
+    verdict on security stories.  Both studies are of the same draws."""
+    table = T.clusters(sided(articles, one, named).where("security IS NOT NULL"), "side", "domain", F.col("tone"), F.lit(1), "security")
+    differences = T.ratio_differences(table, one, None, "side", "domain", resamples, by="security")
+    on_security, on_others = ([F.when(x, F.col(c)) for c in ("low", "high")] for x in (F.col("security"), ~F.col("security")))
+    return differences.agg(F.bool_and(T.below(on_others[1])).alias("lower_accepted"), T.joint_verdict(*on_security, margin).alias("verdict"))

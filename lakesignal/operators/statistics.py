@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,41 +36,47 @@ def within(low: Column, high: Column, margin: float) -> Column:
     return (low > -margin) & (high < margin)
 
 
-def clusters(df: DataFrame, group: str, cluster: str, num: Column, den: Column) -> DataFrame:
+def clusters(df: DataFrame, group: str, cluster: str, num: Column, den: Column, *by: str) -> DataFrame:
     """Numerator and denominator of each cluster."""
-    return df.groupBy(group, cluster).agg(F.sum(num).alias("num"), F.sum(den).alias("den"))
+    return df.groupBy(*by, group, cluster).agg(F.sum(num).alias("num"), F.sum(den).alias("den"))
 
 
-def ratio_differences(table: DataFrame, one: str, others: tuple[str, ...], group: str = "group", cluster: str = "cluster", resamples: int = 2000) -> DataFrame:
-    """Difference of one group's ratio of sums to each other's, with its
-    cluster-bootstrap 95 % percentile interval: reference, value, low, high.
+def ratio_differences(table: DataFrame, one: str, others: tuple[str, ...] | None, group: str = "group", cluster: str = "cluster", resamples: int = 2000, by: str | None = None) -> DataFrame:
+    """Difference of one group's ratio of sums to each other's (None: every
+    other's), with its cluster-bootstrap 95 % percentile interval: reference,
+    value, low, high.  With ``by``, a column without nulls, for each of its
+    values, which comes first; their draws are of the same digests, made once.
 
     Draw k of resample b picks the cluster numbered md5(b, k, group) modulo the
     group's number of clusters.  The numbered sums go to PARTS ranges of the
     resamples; the draws are made there in arrays (see ``draws``) and summed at
     once, so they are rows nowhere, whatever the number of clusters.
     """
-    own = table.where(F.col(group).isin(one, *others)).select(F.col(group).alias("g"), F.col(cluster).alias("c"), F.col("num").cast("double").alias("num"), F.col("den").cast("double").alias("den"))
-    total = own.groupBy("g").agg((F.sum("num") / F.sum("den")).alias("p"))
-    numbered = own.select("g", (F.row_number().over(Window.partitionBy("g").orderBy("c")) - 1).alias("i"), "num", "den")
+    wanted = F.col(group).isNotNull() if others is None else F.col(group).isin(one, *others)
+    own = table.where(wanted).select((F.lit(0) if by is None else F.col(by)).alias("s"), F.col(group).alias("g"), F.col(cluster).alias("c"), F.col("num").cast("double").alias("num"), F.col("den").cast("double").alias("den"))
+    total = own.groupBy("s", "g").agg((F.sum("num") / F.sum("den")).alias("p"))
+    numbered = own.select("s", "g", (F.row_number().over(Window.partitionBy("s", "g").orderBy("c")) - 1).alias("i"), "num", "den")
     parts = min(PARTS, resamples)
     tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = numbered.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(tasks, "g", "part")  # a stated number, as so few bytes would else go to one task
 
     def resampled(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("i").combine_chunks()
+        rows = rows.sort_by([("s", "ascending"), ("i", "ascending")])
         g, part = (x.as_py() for x in key)
         first, end = (x * resamples // parts for x in (part, part + 1))
-        num, den = draws.sums(first, end, str(g), [rows[x].combine_chunks() for x in ("num", "den")])
-        return pa.table({"g": pa.array([g] * (end - first), key[0].type), "b": range(first, end), "num": pa.array(num, pa.float64()), "den": pa.array(den, pa.float64())})
+        each = rows["s"].unique()
+        tables = [rows.filter(pc.equal(rows["s"], s)).combine_chunks() for s in each]
+        sums = draws.sums(first, end, str(g), [[x[c].combine_chunks() for c in ("num", "den")] for x in tables])
+        found = [pa.table({"s": pa.array([s.as_py()] * (end - first), s.type), "g": pa.array([g] * (end - first), key[0].type), "b": range(first, end), "num": pa.array(num, pa.float64()), "den": pa.array(den, pa.float64())}) for s, (num, den) in zip(each, sums, strict=True)]
+        return pa.concat_tables(found)
 
-    kind = own.schema["g"].dataType.simpleString()
-    ratios = dealt.groupBy("g", "part").applyInArrow(resampled, f"g {kind}, b bigint, num double, den double").select("g", "b", (F.col("num") / F.col("den")).alias("r"))
-    mine = F.max(F.when(F.col("g") == one, F.col("r"))).over(Window.partitionBy("b"))
-    spread = ratios.withColumn("r1", mine).where(F.col("g") != one).groupBy("g").agg(F.percentile(F.col("r1") - F.col("r"), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    first = total.where(F.col("g") == one).select(F.col("p").alias("p1"))  # one row
-    point = total.where(F.col("g") != one).join(F.broadcast(first)).select("g", (F.col("p1") - F.col("p")).alias("value"))
-    return point.join(spread, "g").select(F.col("g").alias("reference"), "value", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    study, kind = (own.schema[x].dataType.simpleString() for x in ("s", "g"))
+    ratios = dealt.groupBy("g", "part").applyInArrow(resampled, f"s {study}, g {kind}, b bigint, num double, den double").select("s", "g", "b", (F.col("num") / F.col("den")).alias("r"))
+    mine = F.max(F.when(F.col("g") == one, F.col("r"))).over(Window.partitionBy("s", "b"))
+    spread = ratios.withColumn("r1", mine).where(F.col("g") != one).groupBy("s", "g").agg(F.percentile(F.col("r1") - F.col("r"), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    first = total.where(F.col("g") == one).select("s", F.col("p").alias("p1"))  # one row a study
+    point = total.where(F.col("g") != one).join(F.broadcast(first), "s").select("s", "g", (F.col("p1") - F.col("p")).alias("value"))
+    return point.join(spread, ["s", "g"]).select(*([] if by is None else [F.col("s").alias(by)]), F.col("g").alias("reference"), "value", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def ratio_difference(table: DataFrame, a: str, b: str, group: str = "group", cluster: str = "cluster", resamples: int = 2000) -> DataFrame:
@@ -92,12 +99,16 @@ def equivalence(low: Column, high: Column, margin: float = 0.5) -> Column:
     return F.when(within(low, high, margin), "same within the margin").when((low <= 0) & (high >= 0), "no detectable difference").otherwise("different")
 
 
+def joint_verdict(low: Column, high: Column, margin: float = 0.5) -> Column:
+    """The verdict over all references; all within the margin is asked first,
+    then whether all intervals hold 0."""
+    inside, straddle = F.bool_and(within(low, high, margin)), F.bool_and((low <= 0) & (high >= 0))
+    return F.when(inside, "same within the margin").when(straddle, "no detectable difference").otherwise("different")
+
+
 def joint_equivalence(differences: DataFrame, margin: float = 0.5) -> DataFrame:
-    """One row: the verdict over all references; all within the margin is asked
-    first, then whether all intervals hold 0."""
-    inside = F.bool_and(within(F.col("low"), F.col("high"), margin))
-    straddle = F.bool_and((F.col("low") <= 0) & (F.col("high") >= 0))
-    return differences.agg(F.when(inside, "same within the margin").when(straddle, "no detectable difference").otherwise("different").alias("verdict"))
+    """One row: the verdict over all references."""
+    return differences.agg(joint_verdict(F.col("low"), F.col("high"), margin).alias("verdict"))
 
 
 def normal_label(c: Column) -> Column:

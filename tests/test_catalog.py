@@ -5,9 +5,10 @@ import os
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lakesignal.operators import draws
+from lakesignal.operators import draws, hypotheses
 from lakesignal.operators import statistics as T
 from lakesignal.plans import catalog, studies  # noqa: F401
 
@@ -119,6 +120,31 @@ def test_draws_in_arrays(group):
         assert {len(x) for x in got.values()} == {n}
 
 
+def test_draws_of_several_tables():
+    """Tables of fewer and more clusters from the same digests, against each by itself."""
+    tables = [[pa.array([None if i % 7 == 0 else i * x for i in range(n)], pa.float64()) for x in (1.5, 0.25)] for n in (300, 7, 1200)]
+    for first, end in ((0, 12), (95, 104)):
+        assert draws.sums(first, end, "click", tables) == [draws.sums(first, end, "click", [x])[0] for x in tables]
+
+
+def test_framing_makes_its_draws_once(spark):
+    """Both studies at once and without a job of their own: each made its draws before."""
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    df = catalog.QUERIES["framing_verdict"](spark, "/root/testdata/sf0.01")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+    df.collect()
+    assert [x for x, _, _ in operators_of(df._jdf.queryExecution().executedPlan())].count("FlatMapGroupsInArrowExec") == 1
+    assert jobs <= 1  # Spark's own, for the table's schema
+
+
+def test_framing_of_one_side(spark):
+    """No security stories, or no reference: as the rules over no intervals have it."""
+    rows = [(g, f"d{i}", "en", g != "ru_by" and i % 5 + 5.0 or float(i % 3), True, False) for g in ("ru_by", "baltic_rus") for i in range(20)]
+    articles = spark.createDataFrame(rows, "`group` string, domain string, feed string, tone double, about_baltic boolean, security boolean")
+    assert tuple(hypotheses.framing(articles, resamples=50).first()) == (True, "different")
+    assert tuple(hypotheses.framing(articles.where("`group` = 'ru_by'"), resamples=50).first()) == (None, "different")
+
+
 def test_bootstrap_of_odd_clusters(spark):
     """Null numerators, few resamples, names in two blocks, and a group that is missing."""
     long = "g" * 60
