@@ -137,6 +137,14 @@ def test_framing_makes_its_draws_once(spark):
     assert jobs <= 1  # Spark's own, for the table's schema
 
 
+@pytest.mark.parametrize("name", ["tone_differences", "tone_differences_security"])
+def test_tones_read_the_events_once(spark, name):
+    """The groups' names were asked for in a pass of their own, cached for nothing."""
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    catalog.QUERIES[name](spark, SF)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before <= 1  # Spark's own, for the table's schema
+
+
 def test_framing_of_one_side(spark):
     """No security stories, or no reference: as the rules over no intervals have it."""
     rows = [(g, f"d{i}", "en", g != "ru_by" and i % 5 + 5.0 or float(i % 3), True, False) for g in ("ru_by", "baltic_rus") for i in range(20)]
