@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+from html.entities import html5
 
 import duckdb
 import numpy as np
@@ -180,3 +181,20 @@ def test_titles_with_other_entities_and_ends(spark, tmp_path):
         want = con.execute(catalog.ORACLES["page_title"]).fetchall()
     got = [tuple(r) for r in catalog.QUERIES["page_title"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and len(got) == len(pages)
+
+
+def test_titles_with_all_entities_resolved(spark, tmp_path):
+    """Named, numeric and cut entities, each once, then all white space at the ends; the SQL gives the same."""
+    want = {
+        "&lt;b&gt; &quot;x&quot; &#39;y&#x27;": "<b> \"x\" 'y'", "Ly.&amp;&amp;&amp; and&amp": "Ly.&&& and&", "&amp;lt; &amp;amp;": "&lt; &amp;", "&notin; &notit; &nope; &#; &": "∉ ¬it; &nope; &#; &",
+        "&#128; &#0; &#xD800; &#1;|": "€ � � |", " \t\n&nbsp;x &#10;": "x", "a\nb": "a\nb", "&NotEqualTilde;": "≂̸", "&#" + "9" * 5000 + ";": "�", "&#" + "0" * 5000 + "65;": "A", "": "",
+    }
+    titles = [*want, *(f"&{n}." for n in html5), *(f"&#{n};." for n in range(300))]
+    pages = [(i, f"<html><title>{x}</title>") for i, x in enumerate(titles)] + [(-1, "no title"), (-2, None)]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        sql = con.execute(catalog.ORACLES["page_title"]).fetchall()
+    got = {r.page_id: r.title for r in catalog.QUERIES["page_title"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values()) and (got[-1], got[-2]) == ("", None)
+    assert len(sql) == len(pages) and dict(sql) == got
